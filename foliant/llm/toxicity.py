@@ -1,8 +1,10 @@
 """Toxicity by compression distance.
 
-Two Zstandard dictionaries are trained, one on toxic and one on ordinary text. A
-window of a text, one word with its borders, is compressed with both; what the
-toxic dictionary saves beyond the ordinary one is the window's gain. Zstandard
+Zstandard dictionaries are trained on toxic and on ordinary text: one on ordinary
+text, and on toxic text, less the words that the ordinary one compresses well
+already, one for each of ``VOTES`` shares of its lines. A window of a text, one
+word with its borders, is compressed with all; what the toxic ones save on
+average beyond the ordinary one is the window's gain. Zstandard
 leaves out matches of a few bytes and inputs of under ten, so characters are
 first spread to three bytes each, which makes a matched character worth about
 three bytes and a word's match always worth its cost. Thresholds on the gains
@@ -33,6 +35,8 @@ WORD = re.compile(r"[^\W_]+")
 LINE = 16
 #: Gains that count as weak and as strong evidence, in bytes.
 WEAK, STRONG = 6, 9
+#: Toxic dictionaries; a training word is left to them if the ordinary one leaves more than this share of it.
+VOTES, LEFT = 4, 0.6
 #: Words whose gain a worker keeps; the cache is emptied beyond it.
 CACHE = 400_000
 
@@ -45,6 +49,12 @@ def spread(words: list[bytes]) -> bytes:
     return b"".join(map(SPREAD.__getitem__, b" " + b" ".join(words) + b" "))
 
 
+def compressor(content: bytes):
+    d = zstandard.ZstdCompressionDict(content)
+    d.precompute_compress(level=3)
+    return zstandard.ZstdCompressor(dict_data=d, level=3, write_content_size=False, write_dict_id=False).compress
+
+
 def train_dictionary(lines: list[bytes], size: int) -> bytes:
     """A trained dictionary, or the raw end of the lines where they are too few to train one."""
     try:
@@ -53,22 +63,29 @@ def train_dictionary(lines: list[bytes], size: int) -> bytes:
         return b"".join(lines)[-size:] or b" "
 
 
+def train_dictionaries(ordinary: list[list[bytes]], toxic: list[list[bytes]], ordinary_size: int, toxic_size: int) -> tuple[bytes, list[bytes]]:
+    base = train_dictionary([spread(w) for w in ordinary], ordinary_size)
+    plain, known, left = compressor(base), {}, []
+    for words in toxic:
+        for w in words:
+            if w not in known:
+                known[w] = len(plain(spread([w]))) > LEFT * 3 * (len(w) + 2)
+        left += [w for w in words if known[w]]
+    lines = [spread(left[k : k + LINE]) for k in range(0, len(left), LINE)]
+    return base, [train_dictionary(lines[k::VOTES], toxic_size) for k in range(VOTES)]
+
+
 @dataclass
 class Model:
     ordinary: bytes
-    toxic: bytes
+    toxic: list[bytes]
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         if not hasattr(self, "_gain"):
-            own = []
-            for content in (self.ordinary, self.toxic):
-                d = zstandard.ZstdCompressionDict(content)
-                d.precompute_compress(level=3)
-                own.append(zstandard.ZstdCompressor(dict_data=d, level=3, write_content_size=False, write_dict_id=False).compress)
-            self._pair, self._gain = own, {}
+            self._pair, self._gain = (compressor(self.ordinary), [compressor(c) for c in self.toxic]), {}
         plain, toxic = self._pair
         gain, out = self._gain, np.zeros((len(texts), 6))
         for i, text in enumerate(texts):
@@ -77,7 +94,7 @@ class Model:
                 g = gain.get(w)
                 if g is None:
                     window = spread([w])
-                    g = max(0, len(plain(window)) - len(toxic(window)))
+                    g = max(0.0, len(plain(window)) - sum(len(c(window)) for c in toxic) / len(toxic))
                     if len(w) < 64:
                         gain[w] = g
                 gains.append(g)
@@ -130,7 +147,7 @@ def train(
 
     cut = rows.where("fit").select("_text", "y").mapInArrow(lines, "y int, line binary").withColumn("h", F.xxhash64("line"))
     kept = {y: [bytes(r[0]).split(b" ") for r in cut.where(F.col("y") == y).orderBy("h", "line").limit(n).select("line").collect()] for y, n in ((0, ordinary_lines), (1, toxic_lines))}
-    model = Model(*(train_dictionary([spread(w) for w in kept[y]], size) for y, size in ((0, ordinary_size), (1, toxic_size))), np.zeros(6), np.ones(6), np.zeros(7))
+    model = Model(*train_dictionaries(kept[0], kept[1], ordinary_size, toxic_size), np.zeros(6), np.ones(6), np.zeros(7))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
