@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, mixing, quality, secrets, toxicity, urls, warc
+from . import decontamination, html, mixing, quality, rules, secrets, toxicity, urls, warc
 from .common import read_table
 from .simhash import near_duplicates
 
@@ -19,6 +19,14 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, tau=4)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(read_table(spark, sf_dir, "documents"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read_table(spark, sf_dir, "pages"))
 
@@ -46,6 +54,8 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_decontamination": op3_decontamination,
+    "op4_quality_rules": op4_quality_rules,
     "op5_url_filters": op5_url_filters,
     "op6_mixing": op6_mixing,
     "op7_warc": op7_warc,
@@ -55,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": decontamination.DECONTAMINATION_SQL,
     "op5_url_filters": urls.judge_sql(),
     "op6_mixing": mixing.MIX_SQL,
     "op7_warc": warc.ROUND_TRIP_SQL,
