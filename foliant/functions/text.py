@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -62,6 +63,33 @@ def normalize_unicode(text: Column, compose: bool = True) -> Column:
     return _nfc(plain) if compose else plain
 
 
+PLAIN = {ord(c): " " for c in SPACES} | {ord(c): "\n" for c in LINE_BREAKS} | {ord(c): None for c in ZERO_WIDTH} | {ord(k): v for k, v in LIGATURES.items()}
+
+
+def clean(text: str) -> str:
+    """``normalize_unicode`` of one string, for the page operators."""
+    return unicodedata.normalize("NFC", text.translate(PLAIN))
+
+
+def is_bold_name(name: str) -> bool:
+    base = re.sub(r"^[A-Z]{6}\+", "", name).lower()
+    return any(face in base for face in BOLD_FACES) or bool(re.search(r"[,\-_ ](b|bd|bold)$", base))
+
+
+def is_italic_name(name: str) -> bool:
+    base = re.sub(r"^[A-Z]{6}\+", "", name).lower()
+    return bool(re.search(r"italic|oblique|[,\-_ ](i|it|ital)$", base))
+
+
+def is_numeric_text(cell: str) -> bool:
+    bare = re.sub(r"%+$", "", re.sub(r"^[$€£+-]+", "", re.sub(r"[, ]", "", cell.strip())))
+    try:
+        float(bare)
+    except ValueError:
+        return False
+    return True
+
+
 def superscript_digits(text: Column) -> Column:
     return F.translate(text, "⁰¹²³⁴⁵⁶⁷⁸⁹", "0123456789")
 

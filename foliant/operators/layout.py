@@ -17,19 +17,24 @@ def zone(options: Options) -> Column:
     return F.when(F.col("bottom") <= options.header_band * F.col("height"), "header").when(F.col("top") >= (1 - options.footer_band) * F.col("height"), "footer")
 
 
-def repeated_lines(lines: DataFrame, options: Options) -> DataFrame:
-    """``doc_id, zone, signature, n_pages`` of band lines that repeat on enough pages."""
-    pages = lines.groupBy("doc_id").agg(F.count_distinct("page").alias("_pages"))
+def page_counts(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("doc_id").agg(F.count_distinct("page").alias("_pages"))
+
+
+def repeated_lines(lines: DataFrame, options: Options, pages: DataFrame | None = None) -> DataFrame:
+    """``doc_id, zone, signature, n_pages`` of band lines that repeat on enough pages.
+    ``pages`` (doc_id, _pages) counts pages without lines too, where they are known."""
+    pages = page_counts(lines) if pages is None else pages
     banded = lines.select("doc_id", "page", zone(options).alias("zone"), T.repeat_signature(F.col("text")).alias("signature")).where("zone IS NOT NULL AND signature != ''")
     counted = banded.groupBy("doc_id", "zone", "signature").agg(F.count_distinct("page").alias("n_pages"))
     limit = F.greatest(F.lit(options.artifact_min_pages), F.ceil(options.artifact_page_ratio * F.col("_pages")))
     return counted.join(pages.where("_pages >= 2"), "doc_id").where(F.col("n_pages") >= limit).drop("_pages")
 
 
-def page_numbers(lines: DataFrame, options: Options) -> DataFrame:
+def page_numbers(lines: DataFrame, options: Options, pages: DataFrame | None = None) -> DataFrame:
     """``doc_id, page, seq`` of band lines that are page numbers: numbers that
     advance by one to three from each to the next, or enough that carry no plain number."""
-    pages = lines.groupBy("doc_id").agg(F.count_distinct("page").alias("_pages"))
+    pages = page_counts(lines) if pages is None else pages
     found = lines.withColumn("zone", zone(options)).where(F.col("zone").isNotNull() & T.looks_like_page_number(F.col("text")))
     found = found.withColumn("value", F.regexp_extract("text", r"^\D*(\d{1,4})\D*$", 1).try_cast("int"))
     band, kind = Window.partitionBy("doc_id", "zone"), Window.partitionBy("doc_id", "zone", F.col("value").isNull())
@@ -41,6 +46,89 @@ def page_numbers(lines: DataFrame, options: Options) -> DataFrame:
     return found.where(advances | plain).select("doc_id", "page", "seq")
 
 
+def floating_repeats(lines: DataFrame, bodies: DataFrame, options: Options, pages: DataFrame | None = None) -> DataFrame:
+    """``doc_id, page, seq`` of small print that repeats word for word at one height
+    on enough pages, wherever it stands; the first copy of each page."""
+    pages = page_counts(lines) if pages is None else pages
+    same = T.strip(F.lower(T.one_line(F.col("text"))))
+    small = lines.join(bodies, "doc_id").where((F.col("body") > 0) & (F.col("size") <= 0.95 * F.col("body")) & (F.length(T.strip(F.col("text"))).between(1, 80)) & T.caption_label(F.col("text")).isNull())
+    first = small.withColumn("_same", same).groupBy("doc_id", "_same", "page").agg(F.min("seq").alias("seq"), F.min_by("top", "seq").alias("top"))
+    of = Window.partitionBy("doc_id", "_same")
+    first = first.select("*", F.count("*").over(of).alias("_n"), (F.max("top").over(of) - F.min("top").over(of)).alias("_spread")).join(pages.where("_pages >= 2"), "doc_id")
+    limit = F.greatest(F.lit(options.artifact_min_pages), F.ceil(options.artifact_page_ratio * F.col("_pages")))
+    return first.where((F.col("_n") >= limit) & (F.col("_spread") <= 18)).select("doc_id", "page", "seq")
+
+
+def furniture(lines: DataFrame, bodies: DataFrame, options: Options, pages: DataFrame | None = None) -> DataFrame:
+    """``doc_id, page, seq, artifact`` of lines that are running headers, footers or
+    page numbers; repeated lines first, then numbers, then floating small print."""
+    key = ["doc_id", "page", "seq"]
+    signed = lines.withColumn("zone", zone(options)).withColumn("signature", T.repeat_signature(F.col("text")))
+    repeated = signed.join(repeated_lines(lines, options, pages), ["doc_id", "zone", "signature"]).select(*key, F.col("zone").alias("artifact"))
+    rest = lines.join(repeated, key, "left_anti")
+    numbers = page_numbers(rest, options, pages).withColumn("artifact", F.lit("page_number"))
+    floating = floating_repeats(rest.join(numbers, key, "left_anti"), bodies, options, pages).withColumn("artifact", F.lit("header"))
+    return repeated.unionByName(numbers).unionByName(floating)
+
+
+def body_zone(lines: DataFrame, options: Options) -> DataFrame:
+    """Lines outside the bands for headers and footers; all lines of documents that have none."""
+    inside = zone(options).isNull()
+    return lines.withColumn("_any", F.max(inside).over(Window.partitionBy("doc_id"))).where(inside | ~F.col("_any")).drop("_any")
+
+
+def note_lines(lines: DataFrame, bodies: DataFrame, options: Options) -> DataFrame:
+    """``doc_id, page, seq, note, marker, rest`` of lines that are footnotes: small
+    print below all lines of body size, in the lower part of the page, of which the first opens
+    with a marker. ``note`` numbers the notes of a page, ``rest`` is the line's text."""
+    page = Window.partitionBy("doc_id", "page")
+    down = page.orderBy("top", "x0", "seq")
+    small = F.col("size") <= 0.94 * F.col("body")
+    lowest = F.greatest(F.coalesce(F.max(F.when(~small, F.col("bottom"))).over(page), F.lit(0.0)), 0.55 * F.col("height"))
+    found = lines.join(bodies, "doc_id").withColumn("_from", lowest)
+    found = found.where((F.col("top") >= F.col("_from") - 1) & small & (T.strip(F.col("text")) != "") & ~T.looks_like_page_number(F.col("text")))
+    found = found.withColumn("_open", note_opener(F.col("words"), F.col("text")))
+    found = found.withColumn("note", F.sum(F.col("_open").isNotNull().cast("int")).over(down.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_head", F.first(F.col("_open").isNotNull()).over(down))
+    return found.where("_head").select("doc_id", "page", "seq", "top", "x0", "note", F.col("_open.marker").alias("marker"), F.coalesce("_open.rest", T.strip(F.col("text"))).alias("rest"))
+
+
+NOTE_MARK = r"\d{1,3}|[*†‡§¶#]{1,3}"
+
+
+def marker_of(text: Column) -> Column:
+    """The note that a superscript refers to, without punctuation around it, else null."""
+    bare = F.regexp_replace(F.regexp_replace(T.strip(text), r"^[.,;:)\]]+", ""), r"[.,;:)\]]+$", "")
+    return F.when((F.length(bare) <= 3) & bare.rlike(f"^(?:{NOTE_MARK})$"), bare)
+
+
+def note_opener(words: Column, text: Column) -> Column:
+    """``marker, rest`` of a line that opens a note: a raised first word, or a marker before text; else null."""
+    first = F.get(words, F.lit(0))
+    raised = F.when(first.getField("sup"), marker_of(first.getField("text")))
+    after = T.strip(F.array_join(F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w: w.getField("text")), " "))
+    plain = rf"(?s)^\s*({NOTE_MARK})[.)\]]?\s+(\S.*)$"
+    by_text = F.when(text.rlike(plain), F.struct(F.regexp_extract(text, plain, 1).alias("marker"), T.strip(F.regexp_extract(text, plain, 2)).alias("rest")))
+    return F.when(raised.isNotNull(), F.when(after != "", F.struct(raised.alias("marker"), after.alias("rest")))).otherwise(by_text)
+
+
+def page_notes(note_rows: DataFrame) -> DataFrame:
+    """``doc_id, page, marker, text, seq``: notes from their lines."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("top", "x0", "seq", "rest"))), lambda x: x.getField("rest"))
+    notes = note_rows.groupBy("doc_id", "page", "note").agg(F.max("marker").alias("marker"), T.strip(F.array_join(texts, " ")).alias("text"))
+    return notes.where("text != ''").select("doc_id", "page", "marker", "text", F.col("note").alias("seq"))
+
+
+def text_with_references(words: Column, markers: Column) -> Column:
+    """Words of a line, raised ones that name a note of the page as ``[^n]`` behind the word before."""
+
+    def add(out: Column, w: Column) -> Column:
+        marker = F.when(w.getField("sup"), marker_of(w.getField("text")))
+        cited = F.coalesce(F.array_contains(markers, marker), F.lit(False))
+        return F.when(cited, F.concat(out, F.lit("[^"), marker, F.lit("]"))).when(out == "", w.getField("text")).otherwise(F.concat_ws(" ", out, w.getField("text")))
+
+    return F.aggregate(words, F.lit(""), add)
+
+
 def body_sizes(lines: DataFrame, least_chars: int = 25) -> DataFrame:
     """``doc_id, body``: the size that most characters have, of lines long enough
     if there are any; the smaller one on a tie."""
@@ -81,6 +169,19 @@ def heading_levels(lines: DataFrame, options: Options) -> DataFrame:
     return judged.withColumn("level", F.least(rank, F.lit(options.max_heading_level))).select("doc_id", "page", "seq", "text", "level")
 
 
+def heading_model(lines: DataFrame, bodies: DataFrame, options: Options) -> DataFrame:
+    """``doc_id, page, seq, level`` of headings, with the body size given and section
+    numbers trusted where enough of the document's candidates carry them."""
+    doc = Window.partitionBy("doc_id")
+    judged = lines.withColumn("saturated", F.avg(F.col("bold").cast("int")).over(doc) > 0.55).join(bodies, "doc_id").where(heading_candidate(options))
+    depth = T.number_depth(F.col("text"))
+    rank = F.dense_rank().over(doc.orderBy(F.round("size", 1).desc(), F.col("bold").desc()))
+    numbered = F.count(depth).over(doc)
+    judged = judged.withColumn("_rank", rank).withColumn("_trust", (numbered >= 2) & (numbered >= 0.4 * F.count("*").over(doc)))
+    level = F.when(F.col("_trust") & depth.isNotNull(), depth).otherwise(F.col("_rank"))
+    return judged.select("doc_id", "page", "seq", F.least(level, F.lit(options.max_heading_level)).cast("int").alias("level"))
+
+
 def normalized_levels(headings: DataFrame) -> DataFrame:
     """Levels without gaps: the rank of each among those that the document uses."""
     return headings.withColumn("level", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("level")))

@@ -15,6 +15,14 @@ class Options:
     footnote_mode: str = "inline"
     pages: tuple[int, int] | None = None
     detect_headings: bool = True
+    detect_tables: bool = True
+    detect_unruled_tables: bool = True
+    detect_lists: bool = True
+    detect_captions: bool = True
+    detect_footnotes: bool = True
+    detect_columns: bool = True
+    dehyphenate: bool = True
+    normalize_unicode: bool = True
     escape_markdown: bool = True
     min_heading_ratio: float = 1.12
     max_heading_level: int = 6
@@ -24,6 +32,9 @@ class Options:
     footer_band: float = 0.12
     artifact_page_ratio: float = 0.6
     artifact_min_pages: int = 3
+    word_gap_ratio: float = 0.22
+    line_tolerance_ratio: float = 0.45
+    para_gap_ratio: float = 1.45
 
     def __post_init__(self) -> None:
         checks = {
