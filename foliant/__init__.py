@@ -1,0 +1,11 @@
+"""Document structure and training-data preparation on Spark."""
+
+from .api import Corpus, Document, detect_format, parse, parse_bytes, parse_corpus
+from .errors import FoliantError, MissingBackendError, ParseError, PasswordRequiredError, UnsupportedFormatError
+from .options import FOOTNOTE_MODES, TABLE_MODES, Options
+
+__version__ = "0.1.0"
+__all__ = [
+    "FOOTNOTE_MODES", "TABLE_MODES", "Corpus", "Document", "FoliantError", "MissingBackendError", "Options", "ParseError", "PasswordRequiredError", "UnsupportedFormatError",
+    "__version__", "detect_format", "parse", "parse_bytes", "parse_corpus",
+]

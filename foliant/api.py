@@ -1,0 +1,177 @@
+"""Conversion of one file, or of a corpus, from Python."""
+
+from __future__ import annotations
+
+import io
+import os
+import re
+import zipfile
+from dataclasses import fields
+
+from pyspark.sql import DataFrame, Row, SparkSession
+
+from .errors import UnsupportedFormatError, error_of
+from .options import Options
+from .plans import convert
+from .sources.docx import sniff
+
+
+def session(spark: SparkSession | None = None) -> SparkSession:
+    return spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+
+def content_of(source) -> tuple[str, bytes]:
+    """Name and bytes of a path, of bytes, or of a stream, whose position is kept if it can be."""
+    if isinstance(source, bytes | bytearray | memoryview):
+        return "bytes", bytes(source)
+    if isinstance(source, str | os.PathLike):
+        with open(source, "rb") as file:
+            return os.fspath(source), file.read()
+    if not hasattr(source, "read"):
+        raise TypeError(f"a path, bytes or a binary stream is needed, not {type(source).__name__}")
+    at = source.tell() if source.seekable() else None
+    if at is not None:
+        source.seek(0)
+    data = source.read()
+    if at is not None:
+        source.seek(at)
+    return str(getattr(source, "name", "stream")), data
+
+
+def detect_format(source) -> str:
+    """``pdf`` or ``docx`` by content, whatever the name; any other content is an error that says what it looks like."""
+    name, data = content_of(source)
+    names = None
+    if data.startswith(b"PK\x03\x04"):
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as archive:
+                names = archive.namelist()
+        except zipfile.BadZipFile:
+            names = []
+    found = sniff(data, names)
+    if found in ("pdf", "docx"):
+        return found
+    suffix = re.search(r"\.[^./\\]+$", name.lower())
+    if found == "zip":
+        raise UnsupportedFormatError("a ZIP archive without word/document.xml is no DOCX file")
+    if suffix and suffix[0] in (".pdf", ".docx"):
+        raise UnsupportedFormatError(f"the name ends in {suffix[0]} but the content is neither PDF nor DOCX")
+    raise UnsupportedFormatError(f"neither PDF nor DOCX; the first bytes are {data[:8]!r}")
+
+
+class Corpus:
+    """Documents and their blocks as DataFrames, and what is derived from them. Nothing is collected."""
+
+    def __init__(self, documents: DataFrame, blocks: DataFrame, options: Options):
+        self.documents, self.blocks, self.options = documents, blocks, options
+
+    def of_type(self, *types: str) -> DataFrame:
+        return self.blocks.where(self.blocks["type"].isin(*types))
+
+    def headings(self) -> DataFrame:
+        return self.of_type("heading")
+
+    def tables(self) -> DataFrame:
+        return self.blocks.where("type = 'table' AND rows IS NOT NULL")
+
+    def footnotes(self) -> DataFrame:
+        return convert.footnotes(self.blocks)
+
+    def outline(self) -> DataFrame:
+        return convert.outline(self.blocks)
+
+    def markdown(self, options: Options | None = None) -> DataFrame:
+        return convert.markdown(self.blocks, options or self.options)
+
+    def text(self) -> DataFrame:
+        return convert.plain_text(self.blocks)
+
+    def json(self) -> DataFrame:
+        return convert.as_json(self.documents, self.blocks, self.options)
+
+
+class Document:
+    """One document, its blocks as rows in order."""
+
+    def __init__(self, corpus: Corpus):
+        self.corpus = corpus
+        self.source: Row = corpus.documents.first()
+        if self.source["error"]:
+            raise error_of(self.source["error"])
+        self.blocks: list[Row] = corpus.blocks.orderBy("order").collect()
+
+    @property
+    def warnings(self) -> list[str]:
+        return list(self.source["warnings"] or [])
+
+    @property
+    def markdown(self) -> str:
+        return self.render(self.corpus.options)
+
+    def render(self, options: Options) -> str:
+        row = self.corpus.markdown(options).first()
+        return row["markdown"] if row else ""
+
+    @property
+    def text(self) -> str:
+        return "\n\n".join(b["text"] for b in self.blocks if b["text"].strip())
+
+    def of_type(self, *types: str) -> list[Row]:
+        return [b for b in self.blocks if b["type"] in types]
+
+    def headings(self) -> list[Row]:
+        return self.of_type("heading")
+
+    def tables(self) -> list[Row]:
+        return [b for b in self.blocks if b["rows"] is not None]
+
+    def footnotes(self) -> list[Row]:
+        return [n for b in self.blocks for n in b["notes"] or ()]
+
+    def outline(self) -> list[tuple[int, str]]:
+        return [(b["level"] or 1, b["text"]) for b in self.headings()]
+
+    def to_json(self) -> str:
+        return self.corpus.json().first()["json"]
+
+    def __iter__(self):
+        return iter(self.blocks)
+
+    def __len__(self) -> int:
+        return len(self.blocks)
+
+    def __repr__(self) -> str:
+        return f"Document({self.source['format']}, {len(self)} blocks)"
+
+
+NAMED = ("keep_headers", "table_mode", "footnote_mode", "pages", "password")
+
+
+def merged(options: Options | None, named: dict, overrides: dict) -> Options:
+    """Options with named arguments that aren't None, and then all overrides; unknown names are a TypeError."""
+    known = {f.name for f in fields(Options)}
+    if unknown := set(overrides) - known:
+        raise TypeError(f"unknown options: {', '.join(sorted(unknown))}")
+    return (options or Options()).with_(**{k: v for k, v in named.items() if v is not None}, **overrides)
+
+
+def parse(source, *, keep_headers=None, table_mode=None, footnote_mode=None, pages=None, password=None, options: Options | None = None, spark: SparkSession | None = None, **overrides) -> Document:
+    """The document of a path, of bytes or of a binary stream."""
+    chosen = merged(options, dict(zip(NAMED, (keep_headers, table_mode, footnote_mode, pages, password), strict=True)), overrides)
+    return parse_bytes(content_of(source)[1], format=detect_format(source), options=chosen, spark=spark)
+
+
+def parse_bytes(data: bytes, *, format: str | None = None, options: Options | None = None, spark: SparkSession | None = None, **overrides) -> Document:
+    """The document of bytes; a ``format`` that is given isn't checked against the content."""
+    chosen = merged(options, {}, overrides)
+    kind = format.lower().lstrip(".") if format else detect_format(data)
+    if kind not in ("pdf", "docx"):
+        raise UnsupportedFormatError(f"unknown format {format!r}")
+    files = session(spark).createDataFrame([("document", bytearray(data))], "doc_id string, content binary")
+    return Document(Corpus(*convert.parse_files(files, chosen, kind), chosen))
+
+
+def parse_corpus(path: str, options: Options | None = None, spark: SparkSession | None = None) -> Corpus:
+    """All PDF and DOCX files under a path, as DataFrames."""
+    chosen = options or Options()
+    return Corpus(*convert.parse(session(spark), path, chosen), chosen)

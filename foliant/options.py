@@ -14,6 +14,7 @@ class Options:
     table_mode: str = "markdown"
     footnote_mode: str = "inline"
     pages: tuple[int, int] | None = None
+    password: str | None = None
     detect_headings: bool = True
     detect_tables: bool = True
     detect_unruled_tables: bool = True

@@ -29,6 +29,7 @@ BODY = (
     f"words array<{WORD}>, rows array<array<string>>, has_header boolean, ruled boolean, artifact string"
 )
 ELEMENT = f"doc_id string, page int, seq int, width double, height double, {BODY}"
+ABOUT = "n_pages int, n_glyphs int, title string, author string, producer string, error string, warning string"
 UNIT = "doc_id string, page int, pos int, unit int, kind string, item int"
 KEY = ["doc_id", "page", "seq"]
 
@@ -53,6 +54,27 @@ def elements(pages: DataFrame, options: Options) -> DataFrame:
     return pages.where("page IS NOT NULL AND width IS NOT NULL").select("doc_id", "page", "width", "height", "glyphs", "edges").mapInArrow(run, ELEMENT)
 
 
+def read_pdf(files: DataFrame, options: Options) -> DataFrame:
+    """Elements straight from files (doc_id, content), and a row of kind ``page`` for
+    each page and each file without pages. Glyphs stay in the worker that decodes
+    their page: they are a hundred times the lines and nothing else needs them."""
+    schema = arrow(f"{ELEMENT}, {ABOUT}")
+
+    def rows_of(page: dict) -> Iterator[dict]:
+        about = {k: page.get(k) for k in ("doc_id", "page", "width", "height")}
+        yield about | {"kind": "page", "n_glyphs": len(page.get("glyphs") or ())} | {k: page.get(k) for k in ("n_pages", "title", "author", "producer", "error", "warning")}
+        for n, r in enumerate(P.page_elements(page.get("glyphs"), page.get("edges"), page.get("width") or 0.0, options)):
+            yield about | {"seq": n} | r
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, content in zip(batch.column(0), batch.column(1), strict=True):
+                for page in pdf.page_rows(doc_id.as_py(), content.as_py(), options.pages, options.password):
+                    yield pa.RecordBatch.from_pylist(list(rows_of(page)), schema=schema)
+
+    return files.select("doc_id", "content").mapInArrow(run, f"{ELEMENT}, {ABOUT}")
+
+
 def lines_of(found: DataFrame) -> DataFrame:
     return found.where("kind = 'line'").withColumn("bold", F.coalesce(F.col("bold_ratio") >= 0.6, F.lit(False)))
 
@@ -116,14 +138,16 @@ def list_items(lines: Column) -> Column:
 
 
 def pdf_blocks(pages: DataFrame, options: Options | None = None) -> DataFrame:
-    """Blocks of PDF documents from page rows of any number of files.
-
-    Null and empty pages give no blocks; repeated doc_ids count as one document."""
+    """Blocks of PDF documents from page rows with glyphs. Null and empty pages give
+    no blocks; repeated doc_ids count as one document."""
     options = options or Options()
+    whole = pages.where("page IS NOT NULL AND width IS NOT NULL")
+    return element_blocks(stored(elements(pages, options), "elements"), whole.groupBy("doc_id").agg(F.count_distinct("page").alias("_pages")), options)
+
+
+def element_blocks(found: DataFrame, counts: DataFrame, options: Options) -> DataFrame:
+    """Blocks from the elements of pages, and the number of pages of each document."""
     c = F.col
-    found = stored(elements(pages, options), "elements")
-    counts = pages.where("page IS NOT NULL AND width IS NOT NULL").groupBy("doc_id").agg(F.count_distinct("page").alias("_pages"))
-    counts = stored(counts, "page-counts")
     lines = lines_of(found)
     bodies = L.body_sizes(L.body_zone(lines, options))
     notes, rest = None, found
@@ -233,15 +257,18 @@ def parse_files(files: DataFrame, options: Options | None = None, format: str |
     options = options or Options()
     known = files.select(F.col("doc_id").cast("string").alias("doc_id"), "content")
     known = formats(known) if format is None else known.withColumn("format", F.lit(format.lower().lstrip(".")))
-    pages = stored(pdf.decode(known.where("format = 'pdf'"), options), "pages")
+    found = stored(read_pdf(known.where("format = 'pdf'"), options), "elements")
+    pages = found.where("kind = 'page'")
     packages = docx.decode(known.where("format = 'docx'"))
     own = docx.blocks_of(packages, options).withColumn("caption_kind", F.col("caption.kind")).withColumn("label", F.col("caption.label")).drop("caption")
-    made = pdf_blocks(pages, options)
+    made = element_blocks(found.where("kind != 'page'"), pages.where("width IS NOT NULL").groupBy("doc_id").agg(F.count_distinct("page").alias("_pages")), options)
     blocks = made.unionByName(own, allowMissingColumns=True).select(*COMMON)
-    blank = F.array_sort(F.collect_list(F.when(F.size("glyphs") == 0, F.col("page"))))
+    with_lines = found.where("kind != 'page'").groupBy("doc_id", "page").agg(F.lit(True).alias("filled"))
+    empty = F.col("width").isNotNull() & F.col("filled").isNull()
+    blank = F.array_sort(F.collect_list(F.when(empty, F.col("page"))))
     tail = F.concat(F.array_join(F.slice(blank, 1, 8), ", "), F.when(F.size(blank) > 8, ", ...").otherwise(""))
     told = F.when(F.size(blank) > 0, F.concat(F.size(blank).cast("string"), F.lit(" pages with no extractable text: "), tail))
-    about = pages.groupBy("doc_id").agg(
+    about = pages.join(with_lines, ["doc_id", "page"], "left").groupBy("doc_id").agg(
         F.max("n_pages").alias("n_pages"), F.max("title").alias("title"), F.max("author").alias("author"), F.max("producer").alias("producer"),
         F.array_compact(F.concat(F.array_sort(F.collect_list("warning")), F.array(told))).alias("warnings"), F.max("error").alias("error"),
     )

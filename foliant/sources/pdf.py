@@ -3,8 +3,8 @@
 One row per page: its glyphs in the order of the content stream, its straight
 rules, its size, and the metadata of its file. Objects are found by a scan of the file, so that
 damaged cross-references don't matter. A file that can't be read gives one row
-with an error, a page that can't be read one with a warning; encrypted files
-give the error ``PasswordRequired``. Rows follow files: nothing is collected."""
+with an error, a page that can't be read one with a warning; encrypted files that
+the password doesn't open give the error ``PasswordRequired``. Rows follow files: nothing is collected."""
 
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..options import Options
+from .pdf_security import Lock
 
 GLYPH = "struct<text:string,x0:double,x1:double,top:double,bottom:double,size:double,fontname:string,upright:boolean>"
 EDGE = "struct<x0:double,top:double,x1:double,bottom:double,orientation:string>"
@@ -282,8 +283,9 @@ def inflate(data: bytes) -> bytes:
 class File:
     """The objects of one file, found by a scan; later ones replace earlier ones."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, password: str | None = None):
         self.data, self.objects, self.packed = data, {}, {}
+        self.lock: Lock | None = None
         self.trailer: dict = {}
         self.cache: dict = {}
         at = 0
@@ -310,8 +312,14 @@ class File:
                 continue
             if isinstance(found, dict):
                 self.trailer.update(found)
-        if self.trailer.get("Encrypt") is not None:
-            raise Encrypted("the file is encrypted")
+        if (spec := self.get(self.trailer.get("Encrypt"))) is not None:
+            ids = self.items(self.trailer.get("ID"))
+            spec = {k: self.get(v) for k, v in spec.items()}
+            lock = Lock.open(spec, ids[0] if ids else b"", password or "")
+            if lock is None:
+                raise Encrypted("the password doesn't open the file" if password else "the file is encrypted")
+            own = self.trailer["Encrypt"]
+            self.lock, self.cache = lock, {own[0]: spec} if isinstance(own, Ref) else {}
         for _, number in [k for k in self.packed if isinstance(k, tuple)]:
             self.unpack(number)
         if not isinstance(self.get(self.trailer.get("Root")), dict):
@@ -360,7 +368,8 @@ class File:
                 if number not in self.objects:
                     return None
                 try:
-                    self.cache[number] = self.parse(self.objects[number])
+                    value = self.parse(self.objects[number])
+                    self.cache[number] = self.lock.plain(number, value, Stream) if self.lock else value
                 except (EOFError, PdfError):
                     self.cache[number] = None
             value = self.cache[number]
@@ -690,12 +699,12 @@ def page_row(file: File, page: dict) -> dict:
     return {"width": float(canvas.width), "height": float(canvas.height), "glyphs": canvas.glyphs, "edges": canvas.edges}
 
 
-def page_rows(doc_id: str, content: bytes | None, pages: tuple[int, int] | None) -> Iterator[dict]:
+def page_rows(doc_id: str, content: bytes | None, pages: tuple[int, int] | None, password: str | None = None) -> Iterator[dict]:
     """Rows of the pages in the range; one at a time, so that long files need no memory of their own."""
     try:
         if not content or b"%PDF" not in content[:2048]:
             raise PdfError(f"not a PDF file: {bytes(content or b'')[:8]!r}")
-        file = File(content)
+        file = File(content, password)
         found = file.pages()
         about = {"doc_id": doc_id, "n_pages": len(found), **{k.lower(): file.about(k) for k in ("Title", "Author", "Producer")}}
     except Encrypted as error:
@@ -716,13 +725,13 @@ def page_rows(doc_id: str, content: bytes | None, pages: tuple[int, int] | None)
 
 def decode(files: DataFrame, options: Options | None = None) -> DataFrame:
     """Page rows of files from ``doc_id, content``; a batch goes out per 8 pages."""
-    pages = (options or Options()).pages
+    options = options or Options()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
             for doc_id, content in zip(batch.column(0), batch.column(1), strict=True):
-                for row in page_rows(doc_id.as_py(), content.as_py(), pages):
+                for row in page_rows(doc_id.as_py(), content.as_py(), options.pages, options.password):
                     held.append(row)
                     if len(held) >= 8:
                         yield pa.RecordBatch.from_pylist(held, schema=ARROW)
