@@ -53,11 +53,11 @@ def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(of_lines(r"""SELECT doc_id, line_no, CASE WHEN regexp_matches(a, '[A-Za-zÀ-ɏ]{2,}[-‐‑]$') AND regexp_matches(text, '^[a-zß-ɏ]') THEN substr(a, 1, length(a) - 1) || text END AS joined
-FROM (SELECT doc_id, line_no, 'infla-' AS a, substr(text, 1, 40) AS text FROM lines UNION ALL SELECT doc_id, line_no + 100000, substr(rtrim(text, '.'), 1, 40) || '-', 'tail' FROM lines)"""))
+FROM (SELECT doc_id, line_no, 'infla-' AS a, text FROM lines UNION ALL SELECT doc_id, line_no + 100000, rtrim(text, '.') || '-', 'tail' FROM lines)"""))
 def text_dehyphenate(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = feeds.lines(spark, sf_dir)
-    a = lines.select("doc_id", "line_no", F.lit("infla-").alias("a"), F.substring("text", 1, 40).alias("b"))
-    b = lines.select("doc_id", F.col("line_no") + 100000, F.concat(F.substring(F.regexp_replace("text", r"\.+$", ""), 1, 40), F.lit("-")), F.lit("tail"))
+    a = lines.select("doc_id", "line_no", F.lit("infla-").alias("a"), F.col("text").alias("b"))
+    b = lines.select("doc_id", F.col("line_no") + 100000, F.concat(F.regexp_replace("text", r"\.+$", ""), F.lit("-")), F.lit("tail"))
     return a.union(b).select("doc_id", "line_no", T.join_hyphenated(F.col("a"), F.col("b")).alias("joined"))
 
 
