@@ -67,10 +67,16 @@ def read_pdf(files: DataFrame, options: Options) -> DataFrame:
             yield about | {"seq": n} | r
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for batch in batches:
             for doc_id, content in zip(batch.column(0), batch.column(1), strict=True):
                 for page in pdf.page_rows(doc_id.as_py(), content.as_py(), options.pages, options.password):
-                    yield pa.RecordBatch.from_pylist(list(rows_of(page)), schema=schema)
+                    held += rows_of(page)
+                    if len(held) >= 1000:
+                        yield pa.RecordBatch.from_pylist(held, schema=schema)
+                        held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
 
     return files.select("doc_id", "content").mapInArrow(run, f"{ELEMENT}, {ABOUT}")
 

@@ -19,7 +19,9 @@ from .queries import query
 
 
 def made(rows: DataFrame, draw: Callable[[dict], bytes]) -> DataFrame:
-    """``doc_id, content``: a file drawn from each row, which has a column ``doc_id``."""
+    """``doc_id, content``: a file drawn from each row, which has a column ``doc_id``.
+    Rows are spread over all cores first: a small table is one task, but its files are not small work."""
+    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,5 +162,6 @@ def glyph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     glyph = lambda c, k: F.struct(c.alias("text"), x(k).alias("x0"), x(k + 1).alias("x1"), F.lit(100.0).alias("top"), F.lit(110.0).alias("bottom"), F.lit(10.0).alias("size"), F.lit("Plain").alias("fontname"), F.lit(True).alias("upright"))
     chars = F.filter(F.split("raw", ""), lambda c: c != "")
     pages = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), F.transform(chars, glyph).alias("glyphs"), F.array().cast(f"array<{pdf.EDGE}>").alias("edges"))
+    pages = pages.repartition(spark.sparkContext.defaultParallelism, "doc_id", "page")
     found = convert.elements(pages, Options(normalize_unicode=False, detect_columns=False))
     return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), "page", "seq", "text")

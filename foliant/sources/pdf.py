@@ -521,7 +521,7 @@ class Font:
         encoding = get(spec.get("Encoding"))
         base = get(encoding.get("BaseEncoding")) if isinstance(encoding, dict) else encoding
         codec = "mac_roman" if base == "MacRomanEncoding" else "cp1252"
-        self.base = {k: bytes([k]).decode(codec, "replace") for k in range(32, 256)}
+        self.base = dict(enumerate(bytes(range(32, 256)).decode(codec, "replace"), 32))
         if isinstance(encoding, dict):
             at = 0
             for x in file.items(encoding.get("Differences")):
