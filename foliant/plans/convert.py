@@ -214,7 +214,7 @@ def element_blocks(found: DataFrame, counts: DataFrame, options: Options) -> Dat
         F.when(c("size").isNotNull(), F.struct("size", F.round(c("size") / c("body"), 3).alias("size_ratio"), "bold_ratio", "italic_ratio", "font")).alias("style"),
         "rows", "has_header", "ruled", "items", "artifact", c("_label.kind").alias("caption_kind"), c("_label.label").alias("label"),
     )
-    return with_captions(with_notes(stored(blocks, "blocks"), notes))
+    return with_captions(with_notes(stored(blocks, "blocks"), notes)).withColumn("source_style", F.lit(None).cast("string"))
 
 
 NOTES = "array<struct<marker:string,text:string>>"
@@ -243,7 +243,7 @@ def with_captions(blocks: DataFrame) -> DataFrame:
     return out.withColumn("label", F.coalesce("label", "_label")).drop("_label")
 
 
-COMMON = ("doc_id", "order", "page", "type", "level", "text", "rows", "has_header", "items", "notes", "style", "ruled", "artifact", "caption_kind", "label", "caption", "target_order", "orphan_footnotes")
+COMMON = ("doc_id", "order", "page", "type", "level", "text", "rows", "has_header", "items", "notes", "style", "ruled", "artifact", "caption_kind", "label", "caption", "target_order", "orphan_footnotes", "source_style")
 
 
 def formats(files: DataFrame) -> DataFrame:
@@ -265,7 +265,7 @@ def parse_files(files: DataFrame, options: Options | None = None, format: str |
     known = formats(known) if format is None else known.withColumn("format", F.lit(format.lower().lstrip(".")))
     found = stored(read_pdf(known.where("format = 'pdf'"), options), "elements")
     pages = found.where("kind = 'page'")
-    packages = docx.decode(known.where("format = 'docx'"))
+    packages = stored(docx.decode(known.where("format = 'docx'")), "packages")
     own = docx.blocks_of(packages, options).withColumn("caption_kind", F.col("caption.kind")).withColumn("label", F.col("caption.label")).drop("caption")
     made = element_blocks(found.where("kind != 'page'"), pages.where("width IS NOT NULL").groupBy("doc_id").agg(F.count_distinct("page").alias("_pages")), options)
     blocks = made.unionByName(own, allowMissingColumns=True).select(*COMMON)
@@ -278,9 +278,13 @@ def parse_files(files: DataFrame, options: Options | None = None, format: str |
         F.max("n_pages").alias("n_pages"), F.max("title").alias("title"), F.max("author").alias("author"), F.max("producer").alias("producer"),
         F.array_compact(F.concat(F.array_sort(F.collect_list("warning")), F.array(told))).alias("warnings"), F.max("error").alias("error"),
     )
-    failed = packages.where("error IS NOT NULL").select("doc_id", F.col("error").alias("docx_error"))
+    failed = packages.where("error IS NOT NULL").select("doc_id", F.concat(F.lit("ParseError: "), "error").alias("docx_error"))
+    told_by = [F.get(F.get("rows", F.lit(0)), F.lit(k)).alias(f"_{name}") for k, name in enumerate(("title", "author", "producer"))]
+    core = packages.where("kind = 'about'").select("doc_id", *told_by)
     other = F.when(~F.col("format").isin("pdf", "docx"), F.concat(F.lit("UnsupportedFormatError: "), "format"))
-    documents = known.select("doc_id", "format").join(about, "doc_id", "left").join(failed, "doc_id", "left")
+    documents = known.select("doc_id", "format").join(about, "doc_id", "left").join(failed, "doc_id", "left").join(core, "doc_id", "left")
+    for name in ("title", "author", "producer"):
+        documents = documents.withColumn(name, F.coalesce(name, f"_{name}")).drop(f"_{name}")
     return documents.withColumn("error", F.coalesce("error", "docx_error", other)).drop("docx_error"), blocks
 
 

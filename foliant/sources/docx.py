@@ -9,6 +9,7 @@ gives one row with its error."""
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -26,6 +27,8 @@ SCHEMA = (
     "doc_id string, pos int, kind string, style string, outline int, num_id string, ilvl int, format string, size double, bold boolean, text string, "
     "rows array<array<string>>, bolds array<double>, explicit_header boolean, notes array<struct<marker:string,text:string>>, error string"
 )
+#: The mark that some producers write at the start of a note's text.
+NOTE_MARK = r"^[\d*†‡§¶]{1,3}[.)]?\s*"
 #: Heading styles by name in several languages, with the level behind the word.
 HEADING_STYLE = r"^(?:heading|überschrift|titre|título|titulo|kop|rubrik|otsikko)\s*(\d)"
 
@@ -95,7 +98,8 @@ class Package:
         found = {}
         for n in root.iter(f"{W}{kind}") if root is not None else ():
             if n.get(f"{W}type") not in ("separator", "continuationSeparator", "continuationNotice"):
-                found[n.get(f"{W}id", "")] = " ".join(" ".join(t.text or "" for t in n.iter(f"{W}t")).split())
+                text = " ".join(" ".join(t.text or "" for t in n.iter(f"{W}t")).split())
+                found[n.get(f"{W}id", "")] = re.sub(NOTE_MARK, "", text)
         return found
 
     def run_text(self, run) -> str:
@@ -166,15 +170,25 @@ class Package:
         return [r | {"pos": k, "notes": notes} for k, r in enumerate(found)]
 
 
+    def about(self) -> dict:
+        """Title, author and last editor, as a row of kind ``about``."""
+        found = {}
+        if "docProps/core.xml" in self.zip.namelist():
+            for x in ElementTree.fromstring(self.zip.read("docProps/core.xml")):
+                found[x.tag.rpartition("}")[2]] = (x.text or "").strip() or None
+        return {"pos": -2, "kind": "about", "rows": [[found.get(k) for k in ("title", "creator", "lastModifiedBy")]]}
+
+
 def decode(files: DataFrame) -> DataFrame:
-    """Body rows of packages from ``doc_id, content``."""
+    """Body rows of packages from ``doc_id, content``, and a row of kind ``about`` for each package."""
     columns = [c.strip().split(" ")[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
                 try:
-                    rows = Package(bytes(content)).body()
+                    package = Package(bytes(content))
+                    rows = [package.about(), *package.body()]
                 except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, TypeError) as error:
                     rows = [{"pos": -1, "error": f"{type(error).__name__}: {error}"}]
                 frame = pd.DataFrame([{c: None for c in columns} | r | {"doc_id": doc_id} for r in rows], columns=columns)
@@ -189,7 +203,7 @@ def blocks_of(rows: DataFrame, options: Options | None = None) -> DataFrame:
     """Typed blocks with ``order``, from body rows of any number of packages."""
     options = options or Options()
     c, style = F.col, F.lower(F.coalesce("style", F.lit("")))
-    rows = rows.where("error IS NULL").withColumn("text", T.collapse_spaces(T.normalize_unicode(F.coalesce("text", F.lit("")))))
+    rows = rows.where("error IS NULL AND kind != 'about'").withColumn("text", T.collapse_spaces(T.normalize_unicode(F.coalesce("text", F.lit("")))))
     rows = rows.where((c("kind") == "tbl") | (c("text") != ""))
     named = F.regexp_extract(style, HEADING_STYLE, 1)
     authority = F.when(named != "", named.try_cast("int")).when(style.isin("title", "titel"), 1).when(style.isin("subtitle", "untertitel"), 2).when(c("outline") <= 8, c("outline") + 1)
@@ -217,7 +231,7 @@ def blocks_of(rows: DataFrame, options: Options | None = None) -> DataFrame:
     )
     first = lambda name: F.min_by(name, "pos").alias(name)
     units = rows.groupBy("doc_id", "unit").agg(
-        F.min("pos").alias("pos"), first("kind"), first("level"), first("text"), first("rows"), first("bolds"), first("explicit_header"), first("notes"), first("item"), first("style"),
+        F.min("pos").alias("pos"), first("kind"), first("level"), first("text"), first("rows"), first("bolds"), first("explicit_header"), first("notes"), first("item"), first("style"), first("size"), first("bold"), first("body"),
         F.array_sort(F.collect_list(F.when(c("item"), entry))).alias("items"),
     )
     caption = T.caption_label(c("text"))
@@ -231,9 +245,11 @@ def blocks_of(rows: DataFrame, options: Options | None = None) -> DataFrame:
     listed = F.array_join(F.transform("items", lambda x: F.concat(F.repeat(F.lit("  "), x.getField("level")), F.when(x.getField("ordered"), "1. ").otherwise("- "), x.getField("text"))), "\n")
     text = F.when(c("type") == "list", listed).when(c("type") == "table", F.array_join(F.transform("rows", lambda r: F.array_join(r, "\t")), "\n")).otherwise(c("text"))
     marks = F.regexp_extract_all(F.col("text"), F.lit(r"\[\^([^\]]{1,3})\]"), F.lit(1))
+    look = F.struct("size", F.round(c("size") / c("body"), 3).alias("size_ratio"), c("bold").cast("double").alias("bold_ratio"), F.lit(0.0).alias("italic_ratio"), F.lit(None).cast("string").alias("font"))
     return units.withColumn("text", text).select(
         "doc_id", (F.row_number().over(doc.orderBy("pos")) - 1).alias("order"), "type", "level", "text", "rows", caption.alias("caption"),
         F.when(c("type") == "table", F.coalesce("explicit_header", F.lit(False)) | tables.looks_like_header(c("rows"), c("bolds"))).alias("has_header"),
+        F.when(c("type") == "table", F.lit(True)).alias("ruled"), F.when(c("type") != "table", look).alias("style"), F.when(c("type") != "table", c("style")).alias("source_style"),
         F.when(c("type") == "list", c("items")).alias("items"), F.filter("notes", lambda n: F.array_contains(marks, n.getField("marker"))).alias("notes"),
     )
 

@@ -21,9 +21,11 @@ def cell_table(rows: list[list[str]], header: bool = False) -> str:
     return "<w:tbl>" + "".join(f"<w:tr>{mark if k == 0 else ''}{row}</w:tr>" for k, row in enumerate(cells)) + "</w:tbl>"
 
 
-def package(body: list[str]) -> bytes:
+def package(body: list[str], title: str | None = None) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
         archive.writestr("word/document.xml", f"<w:document {SPACE}><w:body>{''.join(body)}</w:body></w:document>")
         archive.writestr("word/styles.xml", f"<w:styles {SPACE}>{STYLES}</w:styles>")
+        if title:
+            archive.writestr("docProps/core.xml", f'<c:p xmlns:c="core" xmlns:dc="dc"><dc:title>{escape(title)}</dc:title></c:p>')
     return out.getvalue()

@@ -9,6 +9,7 @@ import foliant
 from foliant import cli
 from foliant.plans import evaluate
 from foliant.streaming import folder
+from foliant.sources.docx_writer import cell_table, package, paragraph
 from tests.test_pdf import paged, report, ruled
 
 
@@ -63,3 +64,12 @@ def test_stream(spark, tmp_path):
         folder.stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     blocks = spark.read.parquet(str(tmp_path / "out" / "blocks"))
     assert blocks.count() == 4 and spark.read.parquet(str(tmp_path / "out" / "documents")).where("error IS NOT NULL").count() == 1
+
+
+def test_package(spark):
+    doc = foliant.parse(package([paragraph("Scope", "Heading1"), paragraph("Body text."), cell_table([["a", "1"]])], title="Memo"))
+    assert doc.source["title"] == "Memo" and doc.source["format"] == "docx" and doc.outline() == [(1, "Scope")]
+    heading, body, table = doc.blocks
+    assert heading["style"]["bold_ratio"] == 1.0 and heading["source_style"] == "heading 1" and body["style"]["size_ratio"] == 1.0 and table["ruled"]
+    with pytest.raises(foliant.ParseError):
+        foliant.parse_bytes(b"no archive", format="docx")
