@@ -2,29 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once per row; inside lambdas Spark would compute it again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def width(rows: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0))
 
 
 def padded(rows: Column) -> Column:
-    return F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), F.greatest(width(rows) - F.size(r), F.lit(0)))))
+    return bound(width(rows), lambda n: F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), F.greatest(n - F.size(r), F.lit(0))))))
 
 
 def trimmed(rows: Column) -> Column:
     """Without empty first and last rows and empty columns; rows of one length."""
     filled = lambda r: F.exists(r, lambda c: T.strip(c) != "")
-    some = F.transform(rows, filled)
-    first = F.array_position(some, True)
-    last = F.size(rows) - F.array_position(F.reverse(some), True) + 1
-    body = padded(F.when(first == 0, F.slice(rows, 1, 0)).otherwise(F.slice(rows, first.cast("int"), F.greatest(last - first + 1, F.lit(0)).cast("int"))))
-    keep = F.filter(F.sequence(F.lit(0), F.greatest(width(body) - 1, F.lit(0))), lambda k: F.exists(body, lambda r: T.strip(F.coalesce(F.get(r, k), F.lit(""))) != ""))
-    return F.transform(body, lambda r: F.transform(keep, lambda k: F.get(r, k)))
+
+    def inner(some: Column) -> Column:
+        first = F.array_position(some, True)
+        last = F.size(some) - F.array_position(F.reverse(some), True) + 1
+        return F.when(first == 0, F.slice(rows, 1, 0)).otherwise(F.slice(rows, F.greatest(first, F.lit(1)).cast("int"), F.greatest(last - first + 1, F.lit(0)).cast("int")))
+
+    def columns(body: Column) -> Column:
+        used = lambda k: F.exists(body, lambda r: T.strip(F.coalesce(F.get(r, k), F.lit(""))) != "")
+        keep = F.filter(F.sequence(F.lit(0), F.greatest(width(body) - 1, F.lit(0))), used)
+        return bound(keep, lambda kept: F.transform(body, lambda r: F.transform(kept, lambda k: F.get(r, k))))
+
+    return bound(bound(F.transform(rows, filled), inner), lambda body: bound(padded(body), columns))
 
 
 def looks_like_header(rows: Column, bold: Column) -> Column:
