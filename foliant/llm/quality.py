@@ -8,6 +8,7 @@ sum of the cells that a document falls in.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -41,13 +42,11 @@ def features(texts: list[str | None]) -> np.ndarray:
         c = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
         solid = max(1, n - int(c[9:14].sum() + c[32]))
         lines = [x for x in data.split(b"\n") if x.strip()]
-        distinct = set(words)
-        pieces = words if k <= 64 else words[:: k // 64]
-        most = max(words.count(w) for w in set(pieces[:64])) if k <= 4096 else max(data.count(b" " + w + b" ") for w in set(pieces[:64]))
+        counts = Counter(words)
         out[i] = (
             np.log1p(k), np.log1p(n), solid / k, c[list(b"#*$%&|<>")].sum() / solid, c[33] / solid, c[65:91].sum() / solid, c[48:58].sum() / solid,
-            (c[46] + c[44]) / k, c[124] / k, c[128:].sum() / solid, k / max(1, len(lines)), 1 - len(set(lines)) / max(1, len(lines)), len(distinct) / k,
-            most / k, sum(len(w) <= 3 for w in words) / k, len(squeeze.compress(data)) / n, sum(map(bytes.__eq__, words[1:], words)) / k,
+            (c[46] + c[44]) / k, c[124] / k, c[128:].sum() / solid, k / max(1, len(lines)), 1 - len(set(lines)) / max(1, len(lines)), len(counts) / k,
+            max(counts.values()) / k, sum(len(w) <= 3 for w in words) / k, len(squeeze.compress(data)) / n, sum(map(bytes.__eq__, words[1:], words)) / k,
             sum(x.rstrip()[-1:] in (b".", b"!", b"?") for x in lines) / max(1, len(lines)),
         )
     return out

@@ -70,3 +70,12 @@ def test_additive_model_learns_interactions():
     model = quality.fit(x[:2000], y[:2000])
     assert ((model.scores(x[2000:]) > 0.5) == y[2000:]).mean() > 0.95
     assert (0, 1) in model.pairs
+
+
+def test_commonest_word_counts_all_words():
+    at = quality.FEATURES.index("commonest_word")
+    late = [f"w{k}" for k in range(64)] + ["same"] * 30
+    ends = " ".join(["same\nsame same"] * 2000 + [f"w{k}" for k in range(3000)])
+    spaced = [f"w{k}" if k % 2 == 0 else "same" for k in range(256)]
+    got = quality.features([" ".join(late), ends, " ".join(spaced), "a b a", None])[:, at]
+    assert np.allclose(got, [30 / 94, 6000 / 9000, 128 / 256, 2 / 3, 0])
