@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import decontamination, mixing, secrets, simhash, toxicity
+from foliant.llm import decontamination, mixing, resemblance, secrets, toxicity
 from foliant.llm.common import materialize, read_table
 
 
@@ -16,10 +16,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of texts whose sets of five-word shingles have a Jaccard
+    similarity of 0.8 or more, by links, the document with the smallest id stays."""
+    return resemblance.first_of_each(docs, shingle=5, least=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
