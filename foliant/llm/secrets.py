@@ -26,9 +26,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])M[A-P][A-Za-z0-9+/_-]{38,}={0,2}")
-SSH = re.compile(r"(?<![A-Za-z0-9+/_-])b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/_-]{40,}={0,2}")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[^-]+|-(?!----))*+)-----END \1-----")
+#: Starts of base64 keys; a line end before them may be written as a backslash and a letter.
+BASE64 = re.compile(r"M(?:(?<![A-Za-z0-9+/_-]M)|(?<=\\[nr]M))[A-P][A-Za-z0-9+/_-]{10}")
+SSH = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nr]))b3BlbnNzaC1rZXktdjE")
+RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+PADDING = re.compile("={0,2}")
+#: A line end, real or written with backslashes, and white space around it.
+BREAK = re.compile(r"[ \t]*(?:\r\n?|\n|\\+r\\+n|\\+n)[ \t]*")
+ESCAPED = re.compile(r"\\+[rnt]")
 HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:30[0-9A-Fa-f]{62,}|6[fF]70656[eE]7373682[dD]6[bB]6579[0-9A-Fa-f]{60,})")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+|[A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
 SSH_MAGIC = b"openssh-key-v1\x00"
@@ -80,10 +86,11 @@ def is_private_key(data: bytes | None) -> bool:
     return algorithm[0][0] == 0x06 and bool(algorithm[0][1]) and len(inner[-1 if tags == [0x30, 0x04] else 2][1]) >= 16
 
 
-def is_ssh_key(data: bytes | None) -> bool:
-    """The open SSH container: three strings, a count, then public and private parts, with lengths that nest."""
+def ssh_length(data: bytes | None) -> int:
+    """Bytes of the open SSH container at the start of ``data``: three strings, a count, then
+    public and private parts, with lengths that nest; 0 if there is none."""
     if not data or not data.startswith(SSH_MAGIC):
-        return False
+        return 0
     at = len(SSH_MAGIC)
 
     def piece() -> bytes | None:
@@ -96,13 +103,51 @@ def is_ssh_key(data: bytes | None) -> bool:
 
     head = [piece() for _ in range(3)]
     if None in head or not head[0] or not head[1]:
-        return False
+        return 0
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
     if not 1 <= keys <= 16:
-        return False
+        return 0
     parts = [piece() for _ in range(keys + 1)]
-    return all(p for p in parts)
+    return at if all(p for p in parts) else 0
+
+
+def is_ssh_key(data: bytes | None) -> bool:
+    return ssh_length(data) > 0
+
+
+def gather(text: str, at: int, need: int | None = None) -> tuple[str, int]:
+    """Base64 from ``at`` on over line ends, by whole runs until there are ``need`` characters, and where it ends."""
+    runs, n, end = [], 0, at
+    while run := RUN.match(text, at):
+        runs.append(run[0])
+        n, end = n + len(run[0]), run.end()
+        following = BREAK.match(text, end)
+        if need is not None and n >= need or not following:
+            break
+        at = following.end()
+    return "".join(runs), end
+
+
+def base64_der(text: str, at: int) -> int:
+    """End of the private key whose base64 starts at ``at``, on one line or several; 0 if there is none."""
+    head = unbase64(text[at : at + 12]) or b""
+    if len(head) < 6 or head[0] != 0x30:
+        return 0
+    more = head[1] & 0x7F if head[1] & 0x80 else 0
+    if more > 4:
+        return 0
+    total = 2 + more + (int.from_bytes(head[2 : 2 + more], "big") if head[1] & 0x80 else head[1])
+    need = -(-total * 4 // 3)
+    code, end = gather(text, at, need)
+    return PADDING.match(text, end).end() if need >= 40 and len(code) == need and is_private_key(unbase64(code)) else 0
+
+
+def base64_ssh(text: str, at: int) -> int:
+    """The same for an open SSH container, whose length is that of its parts."""
+    code, _ = gather(text, at)
+    used = ssh_length(unbase64(code[: len(code) - (len(code) % 4 == 1)]))
+    return PADDING.match(text, gather(text, at, -(-used * 4 // 3))[1]).end() if used else 0
 
 
 def is_signed_token(header: str, claims: str, signature: str) -> bool:
@@ -137,15 +182,16 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
-            body = unbase64("".join(line for line in m[2].split("\n") if ":" not in line).replace(" ", "").replace("\r", "").replace("\t", ""))
+            body = unbase64("".join("".join(line.split()) for line in ESCAPED.sub("\n", m[2]).splitlines() if ":" not in line))
             # Encrypted old-style blocks have headers with a colon; their body is opaque.
             if is_private_key(body) or is_ssh_key(body) or (body and "Proc-Type:" in m[2]):
                 found.append(("ssh_key" if m[1].startswith("OPENSSH") else "private_key", m.start(), m.end()))
     blocks = [(s, e) for k, s, e in found if k in ("private_key", "ssh_key")]
-    outside = lambda m: not any(s <= m.start() < e for s, e in blocks)
-    found += [("private_key", m.start(), m.end()) for m in BASE64.finditer(text) if outside(m) and is_private_key(unbase64(m[0]))]
-    if "b3BlbnNzaC1rZXktdjE" in text:
-        found += [("ssh_key", m.start(), m.end()) for m in SSH.finditer(text) if outside(m) and is_ssh_key(unbase64(m[0]))]
+    starts = [("private_key", BASE64, base64_der)] + ([("ssh_key", SSH, base64_ssh)] if "b3BlbnNzaC1rZXktdjE" in text else [])
+    for kind, pattern, end_of in starts:
+        for m in pattern.finditer(text):
+            if not any(s <= m.start() < e for s, e in blocks) and (end := end_of(text, m.start())):
+                found.append((kind, m.start(), end))
     for m in HEX_KEY.finditer(text):
         data = bytes.fromhex(m[0]) if len(m[0]) % 2 == 0 else None
         if is_private_key(data) or is_ssh_key(data):

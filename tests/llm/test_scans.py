@@ -115,3 +115,18 @@ def test_archive_checks():
     for bad in (raws[0].replace(b"WARC/1.1", b"WARC/9"), raws[0].replace(b"some", b"same"), raws[0] + b"x", raws[0].replace(b"WARC-Date", b"X-Date")):
         with pytest.raises(warc.ArchiveError):
             warc.parse(bad)
+
+
+def test_key_encodings():
+    lines = lambda b, n=64: "\n".join(re.findall(f".{{1,{n}}}", b64(b)))
+    pem = lambda body: f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    whole = lambda text, kind: [(kind, 2, 2 + len(text))]
+    locked = pem("Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD\n\n" + lines(bytes(range(7, 199))))
+    for text in (locked, pem(lines(RSA)).replace("\n", "\\n"), pem(lines(RSA)).replace("\n", "\\r\\n"), locked.replace("\n", "\\n")):
+        assert secrets.find_secrets(f'x"{text}" y') == whole(text, "private_key")
+    for raw, kind in ((RSA, "private_key"), (PKCS8, "private_key"), (SSH, "ssh_key")):
+        for text in (lines(raw), lines(raw, 76).replace("\n", "\r\n  "), lines(raw, 32).replace("\n", "\\n"), b64(raw)):
+            assert secrets.find_secrets(f"a {text}\nand more\n") == whole(text, kind)
+            assert secrets.find_secrets(f"\\n{text}\\nand") == whole(text, kind)
+        assert secrets.redacted(f"a\n{lines(raw)}\n{lines(raw)}\nb") == "a\n[secret]\n[secret]\nb"
+    assert kinds(lines(PUBLIC)) == [] == kinds(lines(RSA[:-3]) + "\nx") == kinds(pem(lines(PUBLIC)))
