@@ -98,14 +98,8 @@ def proximity_matches(docs: DataFrame, items: DataFrame, terms: int = 3, within:
     return found.where(F.col("near_terms") == terms).select("id", "item", F.col("pos").alias("start"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """For every row of ``docs``: id, ``n_words``, ``n_hit`` (words inside any
-    occurrence of a window of an item), ``n_items`` and ``items_sha256`` (of the
-    items with such windows) and ``contaminated``.
-
-    Null and wordless texts have no words and no hits; items without words or id
-    are not looked for; repeated rows and rows that share an id are told apart by
-    their texts; repeated items count once. Other columns are not looked at."""
+def marked(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """The columns of ``decontaminate`` and ``_key``, which tells rows apart that share an id."""
     windows, owners = phrases(benchmark, window, item_col, text_col)
     words = document_words(docs, id_col, text_col)
     hits = materialize(phrase_matches(words, windows), "hits")
@@ -115,12 +109,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     covered = spans.withColumn("reach", reach).groupBy("id", "key").agg(F.sum(fresh).alias("n_hit"))
     items = hits.select("id", "key", "wid").distinct().join(small(owners), "wid").groupBy("id", "key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = covered.join(items, covered["id"].eqNullSafe(items["id"]) & covered["key"].eqNullSafe(items["key"])).select(
-        covered["id"].alias("_id"), covered["key"].alias("_key"), "n_hit", "items"
+        covered["id"].alias("_id"), covered["key"].alias("_hit_key"), "n_hit", "items"
     )
     sizes = words.select("id", "key", F.size("words").cast("bigint").alias("n_words"))
     none = F.array().cast("array<string>")
-    return sizes.join(found, F.col("id").eqNullSafe(F.col("_id")) & F.col("key").eqNullSafe(F.col("_key")), "left").select(
+    return sizes.join(found, F.col("id").eqNullSafe(F.col("_id")) & F.col("key").eqNullSafe(F.col("_hit_key")), "left").select(
         F.col("id").alias(id_col),
+        F.col("key").alias("_key"),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.size(F.coalesce("items", none)).cast("bigint").alias("n_items"),
@@ -129,11 +124,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     )
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """For every row of ``docs``: id, ``n_words``, ``n_hit`` (words inside any
+    occurrence of a window of an item), ``n_items`` and ``items_sha256`` (of the
+    items with such windows) and ``contaminated``.
+
+    Null and wordless texts have no words and no hits; items without words or id
+    are not looked for; repeated rows and rows that share an id are told apart by
+    their texts; repeated items count once. Other columns are not looked at."""
+    return marked(docs, benchmark, window, id_col, text_col, item_col).drop("_key")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs``, all columns, that no window of ``benchmark`` occurs in."""
-    id_col = settings.get("id_col", "doc_id")
-    bad = decontaminate(docs, benchmark, **settings).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of ``docs``, all columns, that no window of ``benchmark`` occurs in.
+    A row goes by its id and text: others that share its id stay."""
+    id_col, text_col = settings.get("id_col", "doc_id"), settings.get("text_col", "text")
+    bad = marked(docs, benchmark, **settings).where("contaminated").select(F.col(id_col).alias("_bad"), "_key").distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_bad")) & (F.xxhash64(F.col(text_col)) == F.col("_key"))
+    return docs.join(bad, same, "left_anti")
 
 
 DECONTAMINATION_SQL = r"""

@@ -61,14 +61,16 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     return settled.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """For every row of ``docs``: id, its size in words, its source's size and
     target, and ``taken``, the words that the mix takes of it, repeats counted.
 
     Null texts have size 0 and nothing is taken of them; a null source is a source
     of its own. Ties of keys are broken by id, then size, so rows that repeat may
-    swap but the result is the same. An empty table gives an empty result."""
-    rows = pick(docs, [id_col, text_col, source_col]).select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    swap but the result is the same; a column ``row_col`` that tells them apart
+    breaks ties last and is carried along. An empty table gives an empty result."""
+    row = [] if row_col is None else [row_col]
+    rows = pick(docs, [id_col, text_col, source_col, *row]).select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *row)
     rows = materialize(rows, "mix-sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
     targets = materialize(source_targets(sizes.drop("_n"), weights, share, most).withColumnRenamed("source", "_source"), "mix-targets")
@@ -79,23 +81,23 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
     sums = keyed.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("source", "_range").orderBy("_key", F.col("_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "_range").orderBy("_key", F.col("_id").asc_nulls_last(), "size", *row).rowsBetween(Window.unboundedPreceding, -1)
     keyed = keyed.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     keyed = keyed.join(small(materialize(offsets, "mix-offsets")), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
     keyed = keyed.join(small(targets), F.col("source").eqNullSafe(F.col("_source")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     left = F.floor(F.col("target") - epochs * F.col("source_size")) - F.col("_offset") - F.col("_before")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return keyed.select(F.col("_id").alias(id_col), "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("bigint").alias("taken"))
+    return keyed.select(F.col("_id").alias(id_col), "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("bigint").alias("taken"), *row)
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` of which words are taken, with ``taken`` and ``copies``,
-    how often the whole text is taken; the rest of ``taken`` is the text's start."""
-    plan = mix(docs, **settings)
-    key = settings.get("id_col", "doc_id")
-    plan = plan.where("taken > 0").groupBy(key).agg(F.max("size").alias("_size"), F.max("taken").alias("taken"))
-    return docs.join(plan, key).withColumn("copies", F.floor(F.col("taken") / F.col("_size")).cast("int")).drop("_size")
+    how often the whole text is taken; the rest of ``taken`` is the text's start.
+    Rows are numbered first, so null and repeated ids are rows like any other."""
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    plan = mix(rows, **settings, row_col="_row").where("taken > 0").select("_row", F.col("size").alias("_size"), "taken")
+    return rows.join(plan, "_row").select(*docs.columns, "taken", F.floor(F.col("taken") / F.col("_size")).cast("int").alias("copies"))
 
 
 MIX_SQL = r"""

@@ -59,3 +59,19 @@ def test_stages(spark, tables):
 def test_run(spark, tables):
     assert corpus_pipeline.run(spark, tables[0]).count() > 100
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_null_and_shared_ids(spark, tmp_path):
+    rng = random.Random(8)
+    say = lambda n: " ".join(f"w{rng.randrange(10**5)}" for _ in range(n))
+    leak, twice = say(12), say(50)
+    rows = [(None, say(50), "s"), (None, say(50), "s"), (7, twice, "s"), (7, twice, "s"), (7, twice, "s"), (7, say(50), "s"), (8, say(50), "s"), (8, f"{say(9)} {leak} {say(9)}", "s"), (None, f"{leak} {say(30)}", "t")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    spark.createDataFrame([(1, leak)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    some = lambda df: sorted((tuple(r)[:3] for r in df.collect()), key=str)
+    assert some(corpus_pipeline.drop_near_duplicates(spark, docs, "")) == sorted(rows[:3] + rows[5:], key=str)
+    assert some(corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))) == sorted(rows[:7], key=str)
+    got = corpus_pipeline.mix_sources(spark, docs, "")
+    plan = [r for r in mixing.mix(docs).collect() if r.taken]
+    assert sorted((r.doc_id or 0, r.taken) for r in got.collect()) == sorted((r.doc_id or 0, r.taken) for r in plan)
+    assert sum(r.doc_id is None for r in plan) and sum(r.doc_id == 7 for r in plan) > 1
