@@ -27,9 +27,9 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = salted(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = salted(large, low).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "links")
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
@@ -42,6 +42,13 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
+def salted(pairs: DataFrame, low: DataFrame, salts: int = 16) -> DataFrame:
+    """``pairs`` joined to ``low`` on ``u``, which may be the centre of a large star: its
+    pairs are dealt over ``salts`` parts by ``v``, the row of ``low`` is copied to each."""
+    copies = low.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return pairs.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(copies, ["u", "_salt"]).drop("_salt")
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str, spread: str, weight: str, salts: int = 32, hot_keys: int = 10_000) -> DataFrame:
     """``rows`` left-joined to ``table`` (one row for each ``key``) where a few keys hold most rows.
 

@@ -1,14 +1,17 @@
-"""Groups of texts that resemble each other, by exact comparison of shingle sets.
-
-Two texts are linked if the Jaccard similarity of their sets of word shingles
-reaches a threshold. Equal sets are merged first. Candidates come from MinHash
-bands; a pair at similarity 0.8 shares none of the ``BANDS`` with a probability of
-(1 - 0.8^ROWS)^BANDS, about 1.2e-7, and more similar pairs less often. Every
-candidate is compared shingle by shingle, so no link rests on the sketch.
-
-Inside a bucket members are compared with a few centres and not with each other.
-Members that are connected by then need no more comparison; buckets that still
-hold several groups go on, without those centres and with more of them, until
+"""The SimHash operator for texts of a given similarity: candidates by fingerprints, each verified exactly.
+
+Two texts are linked if the Jaccard similarity of their sets of word shingles reaches
+a threshold. Equal sets are merged first. Each set has a fingerprint of 256 bits. The
+first 64 are probed by the generalised pigeonhole principle within ``TAU`` bits, and a
+hit is joined only if the other 192 differ in at most ``MORE_TAU``, which hardly any
+two unrelated texts do. Groups that these links connect are candidates: inside, texts
+are compared shingle by shingle, so no link rests on a sketch. Of texts at similarity
+0.8 about 15 % of the bits differ; a pair of which more than ``TAU`` of the 64 do is
+found only if other links lead from one to the other.
+
+Inside a group members are compared with a few centres and not with each other.
+Members that are connected by then need no more comparison; groups that still
+hold several parts go on, without those centres and with more of them, until
 each pair has been compared or is connected.
 """
 
@@ -21,42 +24,32 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import materialize, pick
 from .components import connected_components, lookup
+from .simhash import SEED, links, majority, shingle_hashes
 
-BANDS, ROWS = 40, 5
-SEED = 42
-#: Odd multipliers that order the shingles' hashes anew for each row of the sketch.
-FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-#: Shingles sketched at once.
-CHUNK = 256
-#: Centres of a bucket in the first round, and how many times more there are in each round after.
-FIRST, MORE = 4, 16
+#: Bits of 64 and of the further 192 in which texts of similarity 0.8 differ at most, but for a few in a hundred (of the 64) and next to none (of the 192).
+TAU, MORE_TAU = 13, 54
+MORE = ("more1", "more2", "more3")
+#: Numbers of parts to choose from, and the cost of a compared pair next to that of a probed row.
+PARTS, PAIR_COST = (4, 5, 6, 7, 8), 0.004
+#: Centres of a group in the first round, and how many times more there are in each round after.
+FIRST, TIMES = 4, 16
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
-    """Sorted hashes of the different shingles of the lower-cased (A-Z) words, split
-    at ASCII white space. Fewer words are one shingle; without words there is none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    line, digest, n = b" ".join(words), xxhash.xxh64_intdigest, max(1, len(words) - shingle + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.r_[0, ends[: n - 1] + 1].tolist()
-    ends = ends[-n:].tolist()
-    return np.unique(np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, n))
-
-
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One key for each band; none for an empty set."""
-    if not len(hashes):
-        return np.zeros(0, np.uint64)
-    low = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), CHUNK):
-        np.minimum(low, (FACTORS[:, None] * hashes[None, at : at + CHUNK]).min(1), out=low)
-    return np.array([xxhash.xxh64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)], np.uint64)
+    """Sorted hashes of the different shingles; none for texts without words."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """New bits for each hash: the finalizer of the generator SplitMix64, ``k`` steps on."""
+    z = hashes + np.uint64(0x9E3779B97F4A7C15 * k % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -65,26 +58,27 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketched(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """``docs`` with a number ``_row`` for each row, ``_node`` of its shingle set and ``_bands``; written, so that numbers stay."""
+    """``docs`` with a number ``_row`` for each row, ``_node`` of its shingle set and its
+    fingerprint in ``_fp`` and ``_more1`` to ``_more3``; written, so that numbers stay."""
+    names = ["_node", "_fp", *(f"_{c}" for c in MORE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t, shingle) for t in b.column(text_col).to_pylist()]
-            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            keys = pa.array([bands(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes), keys], names=[*b.schema.names, "_node", "_bands"])
+            words = [[xxhash.xxh64_intdigest(s.tobytes(), SEED), majority(s), *(majority(mixed(s, k)) for k in (1, 2, 3))] for s in sets]
+            columns = np.array(words, np.uint64).reshape(-1, len(names)).view(np.int64).T
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=[*b.schema.names, *names])
 
-    schema = StructType([*docs.schema.fields, StructField("_node", LongType()), StructField("_bands", ArrayType(LongType()))])
+    schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in names)])
     return materialize(docs.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "sketches")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, distinct: DataFrame, text_col: str, shingle: int, least: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
     """Those of ``pairs`` (``a, b``) whose shingle sets reach ``least``."""
     uses = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
-    wanted = uses.join(distinct.select(F.col("_node").alias("node"), F.col("any").alias("_row")), "node")
-    texts = materialize(pick(rows, ["_row", text_col]).join(wanted, "_row").select("node", F.col(text_col).alias("text"), "n"), "texts")
+    wanted = materialize(texts.join(uses, "node"), "texts")
     for side, other in (("a", "b"), ("b", "a")):
-        pairs = lookup(pairs, texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"), "n"), side, other, "n")
+        pairs = lookup(pairs, wanted.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"), "n"), side, other, "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,12 +94,10 @@ def verified(pairs: DataFrame, rows: DataFrame, distinct: DataFrame, text_col: s
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def resembling(rows: DataFrame, distinct: DataFrame, text_col: str, shingle: int, least: float) -> DataFrame | None:
-    """``node, root`` of the sets that links connect, or None if there are no links."""
-    every = rows.join(distinct.select(F.col("any").alias("_row")), "_row", "left_semi").select(F.col("_node").alias("node"), F.explode("_bands").alias("key"))
-    shared = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("many", F.lit(True))
-    members = materialize(lookup(every, materialize(shared, "buckets"), "key", "node", "n").where("many").select("key", "node", F.col("node").alias("root")), "members")
-    links = roots = compared = None
+def resembling(members: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame | None:
+    """``node, root`` of the sets that links connect, or None if there are none.
+    ``members``: ``key`` of a group of candidates, ``node`` and ``root`` (at first the node)."""
+    found_links = roots = compared = None
     centres = FIRST
     while members.limit(1).count():
         first = members.withColumn("_k", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("_k") <= centres)
@@ -116,20 +108,15 @@ def resembling(rows: DataFrame, distinct: DataFrame, text_col: str, shingle: int
         pairs = near.select(F.least("node", "x.c").alias("a"), F.greatest("node", "x.c").alias("b")).distinct()
         pairs = materialize(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
         compared = pairs if compared is None else compared.unionByName(pairs)
-        found = materialize(verified(pairs, rows, distinct, text_col, shingle, least), "resembling")
-        links = found if links is None else links.unionByName(found)
+        found = materialize(verified(pairs, texts, least, shingle), "resembling")
+        found_links = found if found_links is None else found_links.unionByName(found)
+        roots = materialize(connected_components(found_links), "roots")
         left = met.where(~F.exists("cs", lambda x: x.getField("c") == F.col("node"))).select("key", "node")
-        # One that is alone beside the centres has met all others of its bucket.
-        left = left.join(left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi")
-        left = materialize(left, "left")
-        centres *= MORE
-        roots = materialize(connected_components(links), "roots")
-        if not left.limit(1).count():
-            break
-        named = left.join(roots.select("node", "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        named = materialize(named, "named")
-        mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-        members = materialize(named.join(mixed, "key", "left_semi"), "members")
+        named = materialize(left.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "named")
+        # One that is alone beside the centres has met all others of its group; so have those that are one part.
+        apart = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+        members = materialize(named.join(apart, "key", "left_semi"), "members")
+        centres *= TIMES
     return roots
 
 
@@ -138,13 +125,18 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of at least ``least`` connect: the one with the smallest id stays, null last.
 
     Rows are told apart by their place in the table, so null and repeated ids are
-    rows like any other. Null and wordless texts have equal, empty sets: one stays."""
+    rows like any other. Null and wordless texts have equal, empty sets: one stays.
+    Very long texts are hashed whole. An empty table gives an empty result."""
     rows = sketched(docs, text_col, shingle)
     low = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
-    distinct = materialize(rows.groupBy("_node").agg(F.min(low).alias("low"), F.min("_row").alias("any")), "distinct-sets")
-    roots = resembling(rows, distinct, text_col, shingle, least)
+    sketch = [F.first(f"_{c}").alias(c) for c in ("fp", *MORE)]
+    distinct = materialize(rows.groupBy(F.col("_node").alias("node")).agg(F.min(low).alias("low"), F.min("_row").alias("any"), *sketch), "distinct-sets")
+    near = links(distinct, TAU, id_col="node", more=MORE, more_tau=MORE_TAU, choices=PARTS, pair_cost=PAIR_COST)
+    members = materialize(connected_components(near).select(F.col("root").alias("key"), "node", F.col("node").alias("root")), "candidates")
+    some = pick(distinct, ["node", "any"]).join(members.select("node"), "node", "left_semi").withColumnRenamed("any", "_row")
+    texts = materialize(pick(rows, ["_row", text_col]).join(some, "_row").select("node", F.col(text_col).alias("text")), "candidate-texts")
+    roots = resembling(members, texts, least, shingle)
     kept = distinct
     if roots is not None:
-        named = distinct.join(roots.withColumnRenamed("node", "_node"), "_node", "left")
-        kept = named.groupBy(F.coalesce("root", "_node").alias("root")).agg(F.min("low").alias("low"))
+        kept = distinct.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("low").alias("low"))
     return rows.join(kept.select(F.col("low.row").alias("_row")), "_row", "left_semi").select(*docs.columns)

@@ -13,7 +13,8 @@ A fingerprint is stored under its key in each part that is used and probes the
 smaller keys within the part's threshold. Buckets are sorted runs that one task
 reads in a stream; inside, distances are computed block-wise and a union-find
 keeps one link for each merge, so a dense group gives as many rows as it has
-fingerprints and not one for each pair. Buckets beyond ``block`` rows are split
+fingerprints and not one for each pair. Rows can carry further bits of a wider
+fingerprint, by which a probe's hits are verified before they are joined. Buckets beyond ``block`` rows are split
 into blocks that different tasks compare.
 """
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -41,26 +43,33 @@ CELLS = 4_000_000
 PAIR_COST = 0.02
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """SimHash of the lower-cased (A-Z) words, split at ASCII white space, in
-    ``shingle``-word shingles with repeats; 0 for null and for texts without words."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of the ``shingle``-word shingles of the lower-cased (A-Z) words, split at
+    ASCII white space, with repeats. Fewer words are one shingle, no words none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    line = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    if len(words) < shingle:
-        return digest(line, SEED)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: len(words) - shingle + 1]
-    ends = ends[shingle - 1 :]
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(starts), CHUNK):
+        return np.zeros(0, np.uint64)
+    line, digest, n = b" ".join(words), xxhash.xxh64_intdigest, max(1, len(words) - shingle + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts, ends = np.r_[0, ends[: n - 1] + 1], ends[-n:]
+    found = np.empty(n, np.uint64)
+    for at in range(0, n, CHUNK):
         spans = zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist(), strict=True)
-        hashes = np.array([digest(line[a:b], SEED) for a, b in spans], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return sum(1 << int(j) for j in np.nonzero(2 * ones > len(starts))[0])
+        found[at : at + CHUNK] = [digest(line[a:b], SEED) for a, b in spans]
+    return found
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return sum(1 << int(j) for j in np.nonzero(2 * ones > len(hashes))[0])
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """SimHash of the shingles of ``text``; 0 for null and for texts without words."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -113,15 +122,14 @@ def group_bits(both: np.ndarray, n: int, parts: int) -> list[list[int]]:
 
 def part_key(bits: list[int]) -> F.Column:
     """The chosen bits of ``fp``, packed in their order: runs of neighbours move together."""
-    key, to, k = F.lit(0).cast("bigint"), 0, 0
+    pieces, to, k = [], 0, 0
     while k < len(bits):
         run = 1
         while k + run < len(bits) and bits[k + run] == bits[k] + run:
             run += 1
-        piece = F.shiftrightunsigned("fp", bits[k]).bitwiseAND(F.lit((1 << run) - 1).cast("bigint"))
-        key = key.bitwiseOR(F.shiftleft(piece, to))
+        pieces.append(f"shiftleft(shiftrightunsigned(fp, {bits[k]}) & {(1 << run) - 1}L, {to})")
         to, k = to + run, k + run
-    return key
+    return F.expr(" | ".join(pieces))
 
 
 def probe_masks(width: int, threshold: int) -> list[int]:
@@ -131,7 +139,7 @@ def probe_masks(width: int, threshold: int) -> list[int]:
 def smaller_keys(key: F.Column, masks: list[int]) -> F.Column:
     """``key`` and those of its neighbours that are smaller: of two fingerprints
     whose keys differ, the one with the larger key probes the other's."""
-    near = F.transform(F.array(*(F.lit(m).cast("bigint") for m in [0, *masks])), lambda m: key.bitwiseXOR(m))
+    near = F.transform(F.expr(f"array({', '.join(f'{m}L' for m in [0, *masks])})"), lambda m: key.bitwiseXOR(m))
     return F.filter(near, lambda k: k <= key)
 
 
@@ -149,7 +157,7 @@ def allocate(cost: list[list[float]], budget: int) -> tuple[float, list[int]]:
     return best[budget]
 
 
-def plan(distinct: DataFrame, tau: int, choices: tuple[int, ...] = (3, 4, 5)) -> tuple[list[list[int]], list[int]]:
+def plan(distinct: DataFrame, tau: int, choices: tuple[int, ...] = (3, 4, 5), pair_cost: float = PAIR_COST) -> tuple[list[list[int]], list[int]]:
     """Groups of bits and their thresholds, by counts over all distinct fingerprints."""
     n = distinct.count()
     both = bit_counts(distinct)
@@ -171,8 +179,8 @@ def plan(distinct: DataFrame, tau: int, choices: tuple[int, ...] = (3, 4, 5)) ->
                 near = [near[t] * (1 - p) + (near[t - 1] * p if t else 0.0) for t in range(tau + 1)]
             row = [0.0]
             for t in range(tau + 1):
-                rows = n * (1 + len(probe_masks(len(bits), t)) / 2)
-                row.append(rows + PAIR_COST * same.get(slots.index((m, i)), 0.0) * sum(near[: t + 1]) / near[0])
+                rows = n * (1 + sum(comb(len(bits), j) for j in range(1, t + 1)) / 2)
+                row.append(rows + pair_cost * same.get(slots.index((m, i)), 0.0) * sum(near[: t + 1]) / near[0])
             cost.append(row)
         found = allocate(cost, tau - m + 1)
         if best is None or found[0] < best[0]:
@@ -199,19 +207,40 @@ class Forest:
             self.kept.append((a, b))
 
 
-def bucket_links(fps: np.ndarray, members: int, tau: int) -> list[tuple[int, int]]:
+def bucket_links(fps: np.ndarray, members: int, tau: int, more: np.ndarray | None = None, more_tau: int = 0) -> list[tuple[int, int]]:
     """Positions of links that connect all that is linked: every pair of a member
     (the first ``members`` of ``fps``) and any other is compared, or skipped only
-    because the two are connected already through a fingerprint that both link to."""
+    because the two are connected already. With ``more``, further bits of each, a
+    link differs in at most ``more_tau`` of those too."""
     forest, n = Forest(len(fps)), len(fps)
-    if members * n <= CELLS:
-        a, b = np.nonzero(np.bitwise_count(fps[:members, None] ^ fps[None, :]) <= tau)
+    if more is None and 3 * tau < BITS // 2 and members * n > CELLS:
+        return ball_links(fps, members, tau, forest)
+    label, at, step = np.arange(n), 0, 8
+    while at < members:
+        step = max(1, min(2 * step, CELLS // n))
+        a, b = np.nonzero(np.bitwise_count(fps[at : min(members, at + step), None] ^ fps[None, :]) <= tau)
+        a += at
+        at += step
+        new = (a < b) & (label[a] != label[b])
+        a, b = a[new], b[new]
+        if more is not None and len(a):
+            near = np.bitwise_count(more[a] ^ more[b]).sum(1, dtype=np.int64) <= more_tau
+            a, b = a[near], b[near]
         for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            if x < y:
-                forest.join(x, y)
-        return forest.kept
-    # Pivots: what lies within tau of a pivot is linked to it. Two members of
-    # different balls link only if their pivots are within 3 * tau.
+            forest.join(x, y)
+        if len(a):
+            old = np.unique(np.r_[label[a], label[b]])
+            to = np.arange(n)
+            to[old] = [forest.root(x) for x in old.tolist()]
+            label = to[label]
+    return forest.kept
+
+
+def ball_links(fps: np.ndarray, members: int, tau: int, forest: Forest) -> list[tuple[int, int]]:
+    """``bucket_links`` for large buckets and narrow ``tau``, by pivots: what lies
+    within tau of a pivot is linked to it. Two members of different balls link only
+    if their pivots are within 3 * tau."""
+    n = len(fps)
     ball = np.full(n, -1, np.int64)
     pivots: list[int] = []
     for x in range(members):
@@ -238,10 +267,14 @@ def bucket_links(fps: np.ndarray, members: int, tau: int) -> list[tuple[int, int
     return forest.kept
 
 
-def links(distinct: DataFrame, tau: int = 4, block: int = 100_000) -> DataFrame:
-    """``a, b``: pairs of fingerprints of ``distinct.fp`` within ``tau`` bits,
-    enough of them to connect all that any such pairs connect."""
-    groups, thresholds = plan(distinct, tau)
+def links(
+    distinct: DataFrame, tau: int = 4, block: int = 100_000, id_col: str = "fp", more: tuple[str, ...] = (), more_tau: int = 0,
+    choices: tuple[int, ...] = (3, 4, 5), pair_cost: float = PAIR_COST,
+) -> DataFrame:
+    """``a, b``: pairs of ``id_col`` whose fingerprints ``fp`` are within ``tau`` bits,
+    and within ``more_tau`` over the further words ``more``, enough of them to
+    connect all that any such pairs connect."""
+    groups, thresholds = plan(distinct, tau, choices, pair_cost)
     rows = []
     for part, (bits, t) in enumerate(zip(groups, thresholds, strict=True)):
         if t < 0:
@@ -250,10 +283,11 @@ def links(distinct: DataFrame, tau: int = 4, block: int = 100_000) -> DataFrame:
         rows.append((part, key, smaller_keys(key, probe_masks(len(bits), t))))
     if not rows:
         raise ValueError("no part in use")
+    carried = list(dict.fromkeys(["fp", id_col, *more]))
     found = None
     for part, key, all_keys in rows:
-        one = distinct.select("fp", F.lit(part).cast("tinyint").alias("part"), key.alias("own"), F.explode(all_keys).alias("key"))
-        one = one.select("part", "key", (F.col("key") != F.col("own")).alias("probe"), "fp")
+        one = distinct.select(*carried, F.lit(part).cast("tinyint").alias("part"), key.alias("own"), F.explode(all_keys).alias("key"))
+        one = one.select("part", "key", (F.col("key") != F.col("own")).alias("probe"), *carried)
         found = one if found is None else found.unionByName(one)
     sizes = found.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > block)
     big = materialize(sizes.select("part", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "big-buckets")
@@ -261,17 +295,11 @@ def links(distinct: DataFrame, tau: int = 4, block: int = 100_000) -> DataFrame:
         found = found.join(big, ["part", "key"], "left").fillna(1, ["blocks"])
         home = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
         found = found.withColumn("home", home).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        found = found.where("probe or block >= home").select("part", "key", "block", (F.col("probe") | (F.col("block") != F.col("home"))).alias("probe"), "fp")
+        found = found.where("probe or block >= home").select("part", "key", "block", (F.col("probe") | (F.col("block") != F.col("home"))).alias("probe"), *carried)
         order = ["part", "key", "block"]
     else:
         order = ["part", "key"]
-    found = found.select(*order, "probe", "fp").repartition(*order).sortWithinPartitions(*order, "probe")
-
-    def emit(fps: np.ndarray, probe: np.ndarray, starts: np.ndarray, ends: np.ndarray, out: tuple[list, list]) -> None:
-        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-            for x, y in bucket_links(fps[s:e], int((~probe[s:e]).sum()), tau):
-                out[0].append(fps[s + x])
-                out[1].append(fps[s + y])
+    found = found.select(*order, "probe", *carried).repartition(*order).sortWithinPartitions(*order, "probe")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -300,10 +328,14 @@ def links(distinct: DataFrame, tau: int = 4, block: int = 100_000) -> DataFrame:
         starts, ends = np.r_[0, cut], np.r_[cut, table.num_rows]
         probe = table.column("probe").to_numpy()
         use = (ends - starts > 1) & ~probe[starts]  # probes come after the members of their bucket
-        out: tuple[list, list] = ([], [])
-        emit(table.column("fp").to_numpy().view(np.uint64), probe, starts[use], ends[use], out)
-        a, b = (np.array(x, np.uint64).view(np.int64) for x in out)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        fps, ids = table.column("fp").to_numpy().view(np.uint64), table.column(id_col).to_numpy()
+        rest = np.stack([table.column(c).to_numpy().view(np.uint64) for c in more], 1) if more else None
+        a, b = [], []
+        for s, e in zip(starts[use].tolist(), ends[use].tolist(), strict=True):
+            for x, y in bucket_links(fps[s:e], int((~probe[s:e]).sum()), tau, None if rest is None else rest[s:e], more_tau):
+                a.append(ids[s + x])
+                b.append(ids[s + y])
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in (a, b)], names=["a", "b"])
 
     return found.mapInArrow(scan, "a bigint, b bigint")
 
@@ -321,8 +353,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("low"), F.count("*").alias("copies")), "distinct-fingerprints")
     roots = connected_components(links(distinct, tau, block))
     named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "copies", "low", F.coalesce("root", "fp").alias("root"))
-    low = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    table = materialize(named.join(low, "root").select("fp", "copies", "component_id"), "components")
+    low = materialize(named.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n")), "component-ids")
+    table = materialize(lookup(named, low, "root", "fp", "n").select("fp", "copies", "component_id"), "components")
     return lookup(fps, table, "fp", id_col, "copies").select(
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from foliant.llm import resemblance
+from foliant.llm import resemblance, simhash
+from foliant.llm.components import connected_components
 
 
 def plain_set(text):
@@ -49,11 +52,46 @@ def test_bits_apart_but_alike(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
-def test_bands_find_alike_sets():
+def test_bits_of_alike_sets():
+    """At similarity 0.8 nearly all pairs are within the bits that are probed and verified; unrelated sets never."""
     rng = random.Random(1)
-    for _ in range(300):
-        n = rng.choice((9, 45, 450))
-        a = {rng.getrandbits(64) for _ in range(n)}
-        b = set(list(a)[n // 9 :]) | {rng.getrandbits(64) for _ in range(n // 9)}  # Jaccard 0.8
-        x, y = (resemblance.bands(resemblance.np.array(sorted(s), "u8")) for s in (a, b))
-        assert (x == y).any()
+    alike = 0
+    for _ in range(200):
+        a = {rng.getrandbits(64) for _ in range(450)}
+        b = set(list(a)[50:]) | {rng.getrandbits(64) for _ in range(50)}  # Jaccard 0.8
+        c = {rng.getrandbits(64) for _ in range(450)}
+        x, y, z = ([bits(np.array(sorted(s), "u8")) for s in (a, b, c)])
+        assert distance(x[1:], y[1:]) <= resemblance.MORE_TAU < distance(x[1:], z[1:])
+        alike += distance(x[:1], y[:1]) <= resemblance.TAU
+    assert alike >= 160
+
+
+def bits(s):
+    return [resemblance.majority(s), *(resemblance.majority(resemblance.mixed(s, k)) for k in (1, 2, 3))]
+
+
+def distance(x, y):
+    return sum((a ^ b).bit_count() for a, b in zip(x, y))
+
+
+def test_links_of_wide_distance(spark):
+    """All that pairs within 13 and 54 bits connect is connected, by comparison of each with each."""
+    rng = random.Random(4)
+    flip = lambda x, n: x ^ sum(1 << k for k in rng.sample(range(64), n))
+    rows = []
+    for _ in range(40):
+        base = [rng.getrandbits(64) for _ in range(4)]
+        for _ in range(8):
+            rows.append([flip(base[0], rng.randrange(9)), *(flip(x, rng.randrange(12)) for x in base[1:])])
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if distance(rows[i][:1], rows[j][:1]) <= 13 and distance(rows[i][1:], rows[j][1:]) <= 54:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    table = spark.createDataFrame([(k, *map(signed, r)) for k, r in enumerate(rows)], "node bigint, fp bigint, more1 bigint, more2 bigint, more3 bigint")
+    for block in (100_000, 3):
+        near = simhash.links(table, 13, block, "node", resemblance.MORE, 54, (3, 6, 8), 0.004)
+        got = {r.node: r.root for r in connected_components(near).collect()}
+        assert [got.get(k, k) for k in range(len(rows))] == group
