@@ -5,7 +5,9 @@ so that documents of higher quality tend to come first and reruns agree. A sourc
 is taken in complete epochs as often as its target holds its size; what is left is
 filled in key order, by a prefix sum of sizes, and the document in which the
 target falls is taken in part. Keys are cut into ranges, so that the prefix sum of
-a large source is a sum over its ranges plus one inside a range.
+a large source is a sum over its ranges plus one inside a range. The cuts follow the
+distribution of the source's keys, which its weights give: a key exceeds k with
+probability ``exp(-k * weight)``, so ranges hold about equally many rows.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from pyspark.sql import functions as F
 from .common import SPACES, materialize, pick, small
 
 WEIGHTS = (3.0, 1.0, 2.0)
-#: Rows that a key range holds on average, and hexadecimal digits of a hash that name ranges.
-RANGE_ROWS = 20_000
+#: Rows that a key range holds on average.
+RANGE_ROWS = 4_000
+#: Words by which sizes are counted together for the distribution of weights, and the largest number of such classes.
+CLASS_WORDS, CLASSES = 25, 61
 
 
 def word_count(text: Column) -> Column:
@@ -68,16 +72,20 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
     Null texts have size 0 and nothing is taken of them; a null source is a source
     of its own. Ties of keys are broken by id, then size, so rows that repeat may
     swap but the result is the same; a column ``row_col`` that tells them apart
-    breaks ties last and is carried along. An empty table gives an empty result."""
+    breaks ties last and is carried along. Rows of one id have one ``u``, so very many
+    of them, or of null ids, fall in one range. Very long texts are counted whole. An
+    empty table gives an empty result."""
     row = [] if row_col is None else [row_col]
     rows = pick(docs, [id_col, text_col, source_col, *row]).select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *row)
     rows = materialize(rows, "mix-sizes")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
-    targets = materialize(source_targets(sizes.drop("_n"), weights, share, most).withColumnRenamed("source", "_source"), "mix-targets")
-    ranges = max(1, rows.count() // RANGE_ROWS)
+    classes = rows.groupBy("source", F.least(F.floor(F.col("size") / CLASS_WORDS), F.lit(CLASSES - 1)).cast("int").alias("_c")).agg(F.sum("size").alias("_size"), F.count("*").alias("_n"))
+    shape = F.sort_array(F.collect_list(F.struct((quality_weight(F.col("_c") * CLASS_WORDS + CLASS_WORDS / 2)).alias("w"), F.col("_n").cast("double").alias("n"))))
+    sizes = materialize(classes.groupBy("source").agg(F.sum("_size").alias("source_size"), F.sum("_n").alias("_n"), shape.alias("_shape")), "mix-sources")
+    targets = materialize(source_targets(sizes.select("source", "source_size"), weights, share, most).withColumnRenamed("source", "_source"), "mix-targets")
+    shapes = small(sizes.select(F.col("source").alias("_of"), "_n", "_shape"))
     keyed = rows.withColumn("_key", -F.log(uniform(F.col("_id"))) / quality_weight(F.col("size")))
-    # A key below k has probability 1 - exp(-k) at weight 1; larger weights only shift rows to lower ranges.
-    keyed = keyed.withColumn("_range", F.floor((1 - F.exp(-2 * F.col("_key"))) * ranges).cast("int"))
+    above = F.aggregate("_shape", F.lit(0.0), lambda total, x: total + x.n * F.exp(-F.col("_key") * x.w))
+    keyed = keyed.join(shapes, F.col("source").eqNullSafe(F.col("_of"))).withColumn("_range", F.floor((F.col("_n") - above) / RANGE_ROWS).cast("int")).drop("_of", "_n", "_shape")
     sums = keyed.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
