@@ -4,7 +4,8 @@ A page is cut into text blocks. A linear classifier over a block's place and tex
 says how much evidence there is for content or for boilerplate; that is the
 capacity of the block's edge to one of the two terminals. Blocks that follow each
 other, and blocks of one parent, are tied by smoothness edges that weaken with the
-distance of their containers. The cheapest cut labels the blocks.
+distance of their containers. The cheapest cut labels the blocks: a block whose own
+evidence points the wrong way is labelled by those around it if that costs less.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav noscript ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template svg math iframe object noframes textarea title select".split())
+RAW = frozenset("script style template svg iframe noframes textarea title select".split())
 #: Tags that end an open paragraph.
 ENDS_P = BLOCKS - frozenset("body html head button caption legend option td th tr tbody thead tfoot summary figcaption".split())
 #: What a container says of the blocks in it.
@@ -40,15 +41,36 @@ NAME_MARKS = (
     (IN_EDGE, re.compile(r"(?:^|[^a-z])(?:footer|header|masthead|copyright|byline-bar)(?:$|[^a-z])")),
     (IN_ARTICLE, re.compile(r"(?:^|[^a-z])(?:article|post-?(?:body|content)?|entry-?(?:content)?|story|main-?(?:content)?|content)(?:$|[^a-z])")),
 )
-#: Log-odds for content, in hundredths, that a mark or a property of a block adds.
-MARK_COSTS = {IN_ARTICLE: 300, IN_NAV: -500, IN_EDGE: -500, IN_ASIDE: -500, IN_FORM: -400, IN_AD: -800, IN_COMMENTS: -800, IN_NOTICE: -700, IN_HEAD: -5000}
-ADJACENT, SAME_PARENT = 40, 60
+#: Log-odds for content, in hundredths, that a mark or a property of a block adds. One mark is worth about two or three ties, so that blocks around it can outvote it.
+MARK_COSTS = {IN_ARTICLE: 150, IN_NAV: -250, IN_EDGE: -250, IN_ASIDE: -250, IN_FORM: -200, IN_AD: -400, IN_COMMENTS: -400, IN_NOTICE: -350, IN_HEAD: -5000}
+#: The tie of blocks that follow each other under one parent; of blocks whose containers are more than ``FAR`` steps apart, the least.
+TIE, LEAST_TIE, FAR = 90, 10, 8
+
+
+class Place:
+    """A container: its number, how deep it lies, and what it lies in."""
+
+    __slots__ = ("depth", "number", "outer")
+
+    def __init__(self, number: int, outer: "Place | None"):
+        self.number, self.outer, self.depth = number, outer, outer.depth + 1 if outer else 0
+
+
+def steps_apart(a: Place, b: Place) -> int:
+    """Steps up and down between two containers; ``FAR + 1`` if there are more."""
+    steps = 0
+    while a is not b and steps <= FAR:
+        if a.depth >= b.depth:
+            a, steps = a.outer, steps + 1
+        else:
+            b, steps = b.outer, steps + 1
+    return steps
 
 
 class Block:
     __slots__ = ("linked", "marks", "parent", "size", "tag", "text")
 
-    def __init__(self, text: str, tag: str, marks: int, parent: tuple[int, ...], linked: int):
+    def __init__(self, text: str, tag: str, marks: int, parent: Place, linked: int):
         self.text, self.tag, self.marks, self.parent, self.size = text, tag, marks, parent, len(text)
         self.linked = min(1.0, linked / self.size)
 
@@ -57,7 +79,7 @@ def split_blocks(page: str) -> list[Block]:
     """Text blocks in page order. Lenient: open paragraphs end where a block starts,
     an end tag closes what is open inside its element, one without a start is passed over."""
     found: list[Block] = []
-    stack: list[tuple[str, int, tuple[int, ...]]] = [("", 0, ())]
+    stack: list[tuple[str, int, Place]] = [("", 0, Place(0, None))]
     count: dict[str, int] = {}
     pieces: list[str] = []
     linked = ids = at = 0
@@ -110,10 +132,11 @@ def split_blocks(page: str) -> list[Block]:
                 close("p")
             elif name in ("li", "dd", "dt", "option", "tr", "td", "th") and stack[-1][0] == name:
                 close(name)
-        if name in RAW:
+        if name in RAW and not (name in ("svg", "math") and m[3].endswith("/>")):
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
-            continue
+            if end or name in ("script", "style", "template", "textarea", "title"):
+                at = end.end() if end else len(page)
+                continue
         if name in VOID or m[3].endswith("/>") and not block:
             continue
         marks = stack[-1][1] | TAG_MARKS.get(name, 0)
@@ -124,7 +147,7 @@ def split_blocks(page: str) -> list[Block]:
                         marks |= mark
         if block:
             ids += 1
-        stack.append((name, marks, (*stack[-1][2][-2:], ids) if block else stack[-1][2]))
+        stack.append((name, marks, Place(ids, stack[-1][2]) if block else stack[-1][2]))
         count[name] = count.get(name, 0) + 1
     if at < len(page):
         pieces.append(unescape(page[at:]))
@@ -138,9 +161,9 @@ def evidence(block: Block) -> int:
     for mark, c in MARK_COSTS.items():
         if block.marks & mark:
             cost += c
-    cost += min(block.size, 400) // 4 - int(250 * block.linked)
+    cost += min(block.size, 400) // 4 - int(150 * block.linked)
     if block.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "figcaption"):
-        cost += 60
+        cost += 40
     if block.text[-1] in ".!?:;\"'”»…":
         cost += 40
     if block.text.startswith("©"):
@@ -149,10 +172,8 @@ def evidence(block: Block) -> int:
 
 
 def smoothness(a: Block, b: Block) -> int:
-    """Between neighbours: full under one parent, half under one grandparent, little across sections."""
-    if a.parent[:-1] and a.parent[:-1] == b.parent[:-1]:
-        return ADJACENT + SAME_PARENT
-    return ADJACENT if set(a.parent) & set(b.parent) else ADJACENT // 4
+    """Between neighbours: full for two blocks of one container, halved with each step more between their containers."""
+    return max(LEAST_TIE, TIE >> max(0, steps_apart(a.parent, b.parent) - 2))
 
 
 def min_cut(terminal: list[int], ties: dict[tuple[int, int], int]) -> list[bool]:
@@ -230,18 +251,20 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     ties = {(k, k + 1): smoothness(a, b) for k, (a, b) in enumerate(zip(blocks, blocks[1:]))}
-    last: dict[tuple[int, ...], int] = {}
+    last: dict[int, int] = {}
     for k, b in enumerate(blocks):
-        if k - last.get(b.parent[:-1], k) > 1:
-            ties[last[b.parent[:-1]], k] = SAME_PARENT // 2
-        last[b.parent[:-1]] = k
+        around = b.parent.outer.number if b.parent.outer else -1
+        if k - last.get(around, k) > 1:
+            ties[last[around], k] = TIE // 4
+        last[around] = k
     keep = min_cut([evidence(b) for b in blocks], ties)
     return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages``, whole pages.
-    A null page is empty; repeated rows stay; other columns are not looked at."""
+    A null page is empty; repeated rows stay; very long pages are read whole; an empty
+    table gives an empty result; other columns are not looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -24,6 +24,23 @@ def test_main_text():
     assert html.main_text("<a \"" * 20_000 + ">") is not None
 
 
+def test_cut_decides_against_the_sign():
+    """A linked line without full stop in an article, and a long sentence in a menu, look like the other kind by themselves."""
+    text = "A full sentence of the article that says a thing or two. " * 3
+    page = f"<body><nav><ul><li><a href='/a'>Home</a></li><li>{text}{text}{text}</li><li><a href='/b'>More</a></li></ul></nav><div><p>{text}{text}</p><div><a href='/x'>see the other one</a></div><p>{text}{text}</p></div></body>"
+    blocks = html.split_blocks(page)
+    signs = [html.evidence(b) > 0 for b in blocks]
+    kept = html.main_text(page).split("\n")
+    assert signs[4] is False and blocks[4].text in kept
+    assert [b.text in kept for b in blocks[3:]] == [True] * 3 and blocks[0].text not in kept
+
+
+def test_raw_elements_end():
+    one, two = "The first paragraph, long enough to count as text.", "The second paragraph, long enough to count as text."
+    for between in ('<svg class="icon"/>', "<math/>", "<object>", "<iframe>", "<svg><path d='M0'/></svg>"):
+        assert html.main_text(f"<body><article><p>{one}</p>{between}<p>{two}</p></article></body>") == f"{one}\n{two}"
+
+
 def test_cut_is_cheapest():
     rng = random.Random(4)
     for _ in range(60):
