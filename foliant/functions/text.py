@@ -156,10 +156,15 @@ def list_marker(text: Column) -> Column:
     bullet = rf"(?s)^([{BULLETS.replace('-', '')}\-])\s+(.*)$"
     ordered = r"(?s)^\(?(\d{1,3}|[ivxlcdm]{1,7}|[A-Za-z])[.)\]]\s+(.*)$"
     parts = lambda p, is_ordered: F.struct(F.regexp_extract(s, p, 1).alias("marker"), strip(F.regexp_extract(s, p, 2)).alias("rest"), F.lit(is_ordered).alias("ordered"))
-    rest = strip(F.regexp_extract(s, ordered, 2))
-    initial = F.regexp_extract(s, ordered, 1).rlike("^[A-Za-z]$") & rest.rlike(r"^\p{Lu}") & (F.size(F.split(rest, r"\s+")) <= 3)
-    found = F.when(s.rlike(bullet), parts(bullet, False)).when(s.rlike(ordered) & ~initial, parts(ordered, True))
-    return F.when(found.getField("rest") != "", found)
+    found = F.when(s.rlike(bullet), parts(bullet, False)).when(s.rlike(ordered), parts(ordered, True))
+
+    def checked(x: Column) -> Column:
+        marker, rest = x.getField("marker"), x.getField("rest")
+        initial = x.getField("ordered") & marker.rlike("^[A-Za-z]$") & rest.rlike(r"^\p{Lu}") & (F.size(F.split(rest, r"\s+")) <= 3)
+        return F.when((rest != "") & ~initial, x)
+
+    # Bound in a lambda: written out, each use would run the patterns again.
+    return F.get(F.transform(F.array(found), checked), F.lit(0))
 
 
 def number_depth(text: Column) -> Column:

@@ -129,14 +129,14 @@ def text_with_references(words: Column, markers: Column) -> Column:
     return F.aggregate(words, F.lit(""), add)
 
 
-def body_sizes(lines: DataFrame, least_chars: int = 25) -> DataFrame:
-    """``doc_id, body``: the size that most characters have, of lines long enough
-    if there are any; the smaller one on a tie."""
-    n = F.length(F.regexp_replace("text", " ", ""))
+def body_sizes(lines: DataFrame, least_chars: int = 25, spaces: bool = False, default: float = 10.0) -> DataFrame:
+    """``doc_id, body``: the size that most characters (with ``spaces`` or without)
+    have, of lines long enough if there are any; the smaller one on a tie."""
+    n = F.length("text") if spaces else F.length(F.regexp_replace("text", " ", ""))
     voting = lines.select("doc_id", F.round("size", 1).alias("size"), n.alias("n"), (n >= least_chars).alias("long"))
     votes = voting.groupBy("doc_id", "size").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("long"), F.col("n"))).alias("some"))
     best = lambda w: F.max_by("size", F.struct(F.col(w), -F.col("size")))
-    return votes.groupBy("doc_id").agg(F.coalesce(F.when(F.max("some").isNotNull(), F.max_by("size", F.when(F.col("some").isNotNull(), F.struct("some", -F.col("size"))))), best("all"), F.lit(10.0)).alias("body"))
+    return votes.groupBy("doc_id").agg(F.coalesce(F.when(F.max("some").isNotNull(), F.max_by("size", F.when(F.col("some").isNotNull(), F.struct("some", -F.col("size"))))), best("all"), F.lit(default)).alias("body"))
 
 
 def heading_candidate(options: Options) -> Column:
@@ -160,24 +160,20 @@ def heading_candidate(options: Options) -> Column:
     )
 
 
-def heading_levels(lines: DataFrame, options: Options) -> DataFrame:
-    """Lines that are headings with ``level``: the rank of their style, larger and
-    bold first, among the styles of the document's candidates."""
-    shares = lines.groupBy("doc_id").agg((F.avg(F.col("bold").cast("int")) > 0.55).alias("saturated"))
-    judged = lines.join(body_sizes(lines), "doc_id").join(shares, "doc_id").where(heading_candidate(options))
-    rank = F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.round("size", 1).desc(), F.col("bold").desc()))
-    return judged.withColumn("level", F.least(rank, F.lit(options.max_heading_level))).select("doc_id", "page", "seq", "text", "level")
-
-
-def heading_model(lines: DataFrame, bodies: DataFrame, options: Options) -> DataFrame:
-    """``doc_id, page, seq, level`` of headings, with the body size given and section
-    numbers trusted where enough of the document's candidates carry them."""
+def heading_model(lines: DataFrame, bodies: DataFrame, options: Options, numbers: bool = True) -> DataFrame:
+    """``doc_id, page, seq, level`` of headings, with the body size given: the rank of
+    their style, larger and bold first, among the styles of the document's candidates.
+    With ``numbers`` section numbers are trusted where enough of the candidates carry
+    them. Lines with a true ``listed`` have a say in what is common, but are no candidates."""
     doc = Window.partitionBy("doc_id")
     judged = lines.withColumn("saturated", F.avg(F.col("bold").cast("int")).over(doc) > 0.55).join(bodies, "doc_id").where(heading_candidate(options))
+    if "listed" in lines.columns:
+        judged = judged.where(~F.col("listed"))
     depth = T.number_depth(F.col("text"))
     rank = F.dense_rank().over(doc.orderBy(F.round("size", 1).desc(), F.col("bold").desc()))
     numbered = F.count(depth).over(doc)
-    judged = judged.withColumn("_rank", rank).withColumn("_trust", (numbered >= 2) & (numbered >= 0.4 * F.count("*").over(doc)))
+    trust = (numbered >= 2) & (numbered >= 0.4 * F.count("*").over(doc)) if numbers else F.lit(False)
+    judged = judged.withColumn("_rank", rank).withColumn("_trust", trust)
     level = F.when(F.col("_trust") & depth.isNotNull(), depth).otherwise(F.col("_rank"))
     return judged.select("doc_id", "page", "seq", F.least(level, F.lit(options.max_heading_level)).cast("int").alias("level"))
 

@@ -148,11 +148,12 @@ def pdf_blocks(pages: DataFrame, options: Options | None = None) -> DataFrame:
     no blocks; repeated doc_ids count as one document."""
     options = options or Options()
     whole = pages.where("page IS NOT NULL AND width IS NOT NULL")
-    return element_blocks(stored(elements(pages, options), "elements"), whole.groupBy("doc_id").agg(F.count_distinct("page").alias("_pages")), options)
+    return element_blocks(stored(elements(pages, options), "elements"), whole.groupBy("doc_id").agg(F.count_distinct("page").alias("_pages")), options)[0]
 
 
-def element_blocks(found: DataFrame, counts: DataFrame, options: Options) -> DataFrame:
-    """Blocks from the elements of pages, and the number of pages of each document."""
+def element_blocks(found: DataFrame, counts: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
+    """Blocks from the elements of pages and the number of pages of each document;
+    and ``doc_id, stripped``, how many running lines were left out of them."""
     c = F.col
     lines = lines_of(found)
     bodies = L.body_sizes(L.body_zone(lines, options))
@@ -161,7 +162,10 @@ def element_blocks(found: DataFrame, counts: DataFrame, options: Options) -> Dat
         note_rows = stored(L.note_lines(lines, bodies, options), "notes")
         notes = L.page_notes(note_rows)
         rest = rest.join(note_rows.select(*KEY), KEY, "left_anti")
-    tagged = L.furniture(lines_of(rest), bodies, options, counts)
+    tagged = stored(L.furniture(lines_of(rest), bodies, options, counts), "furniture")
+    stripped = tagged.groupBy("doc_id").agg(F.count("*").alias("stripped"))
+    if options.keep_headers:
+        stripped = stripped.limit(0)
     if options.keep_headers:
         rest = rest.drop("artifact").join(tagged, KEY, "left")
     else:
@@ -214,7 +218,7 @@ def element_blocks(found: DataFrame, counts: DataFrame, options: Options) -> Dat
         F.when(c("size").isNotNull(), F.struct("size", F.round(c("size") / c("body"), 3).alias("size_ratio"), "bold_ratio", "italic_ratio", "font")).alias("style"),
         "rows", "has_header", "ruled", "items", "artifact", c("_label.kind").alias("caption_kind"), c("_label.label").alias("label"),
     )
-    return with_captions(with_notes(stored(blocks, "blocks"), notes)).withColumn("source_style", F.lit(None).cast("string"))
+    return with_captions(with_notes(stored(blocks, "blocks"), notes)).withColumn("source_style", F.lit(None).cast("string")), stripped
 
 
 NOTES = "array<struct<marker:string,text:string>>"
@@ -249,11 +253,10 @@ COMMON = ("doc_id", "order", "page", "type", "level", "text", "rows", "has_heade
 def formats(files: DataFrame) -> DataFrame:
     """``format`` of each file by its content: pdf, docx, zip or unknown. Only the
     head and, for archives, whether the part name occurs are looked at, in the JVM."""
-    hexed = F.hex(F.substring("content", 1, 2048))
-    member = F.hex(F.lit("word/document.xml").cast("binary"))
-    is_zip = hexed.startswith("504B0304")
-    docx_part = F.position(member, F.hex("content")) > 0
-    kind = F.when(F.position(F.lit("25504446"), hexed) > 0, "pdf").when(is_zip & docx_part, "docx").when(is_zip, "zip").otherwise("unknown")
+    head = F.substring("content", 1, 2048)
+    is_zip = F.startswith(head, F.lit(b"PK\x03\x04"))
+    docx_part = F.contains("content", F.lit(b"word/document.xml"))
+    kind = F.when(F.contains(head, F.lit(b"%PDF")), "pdf").when(is_zip & docx_part, "docx").when(is_zip, "zip").otherwise("unknown")
     return files.withColumn("format", kind)
 
 
@@ -267,7 +270,7 @@ def parse_files(files: DataFrame, options: Options | None = None, format: str |
     pages = found.where("kind = 'page'")
     packages = stored(docx.decode(known.where("format = 'docx'")), "packages")
     own = docx.blocks_of(packages, options).withColumn("caption_kind", F.col("caption.kind")).withColumn("label", F.col("caption.label")).drop("caption")
-    made = element_blocks(found.where("kind != 'page'"), pages.where("width IS NOT NULL").groupBy("doc_id").agg(F.count_distinct("page").alias("_pages")), options)
+    made, stripped = element_blocks(found.where("kind != 'page'"), pages.where("width IS NOT NULL").groupBy("doc_id").agg(F.count_distinct("page").alias("_pages")), options)
     blocks = made.unionByName(own, allowMissingColumns=True).select(*COMMON)
     with_lines = found.where("kind != 'page'").groupBy("doc_id", "page").agg(F.lit(True).alias("filled"))
     empty = F.col("width").isNotNull() & F.col("filled").isNull()
@@ -280,9 +283,14 @@ def parse_files(files: DataFrame, options: Options | None = None, format: str |
     )
     failed = packages.where("error IS NOT NULL").select("doc_id", F.concat(F.lit("ParseError: "), "error").alias("docx_error"))
     told_by = [F.get(F.get("rows", F.lit(0)), F.lit(k)).alias(f"_{name}") for k, name in enumerate(("title", "author", "producer"))]
-    core = packages.where("kind = 'about'").select("doc_id", *told_by)
+    core = packages.where("kind = 'about'").select("doc_id", *told_by, F.get("rows", F.lit(1)).alias("_warnings"))
+    running = F.concat(F.lit("stripped "), F.col("stripped").cast("string"), F.lit(" running header/footer line(s); pass keep_headers=True to retain them"))
+    stripped = stripped.select("doc_id", running.alias("_running"))
+    none = F.array().cast("array<string>")
     other = F.when(~F.col("format").isin("pdf", "docx"), F.concat(F.lit("UnsupportedFormatError: "), "format"))
-    documents = known.select("doc_id", "format").join(about, "doc_id", "left").join(failed, "doc_id", "left").join(core, "doc_id", "left")
+    documents = known.select("doc_id", "format").join(about, "doc_id", "left").join(failed, "doc_id", "left").join(core, "doc_id", "left").join(stripped, "doc_id", "left")
+    told_of = F.array_compact(F.concat(F.coalesce("warnings", none), F.coalesce("_warnings", none), F.array("_running")))
+    documents = documents.withColumn("warnings", told_of).drop("_warnings", "_running")
     for name in ("title", "author", "producer"):
         documents = documents.withColumn(name, F.coalesce(name, f"_{name}")).drop(f"_{name}")
     return documents.withColumn("error", F.coalesce("error", "docx_error", other)).drop("docx_error"), blocks

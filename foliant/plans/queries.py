@@ -53,10 +53,10 @@ def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(of_lines(r"""SELECT doc_id, line_no, CASE WHEN regexp_matches(a, '[A-Za-zÀ-ɏ]{2,}[-‐‑]$') AND regexp_matches(text, '^[a-zß-ɏ]') THEN substr(a, 1, length(a) - 1) || text END AS joined
-FROM (SELECT doc_id, line_no, 'infla-' AS a, text FROM lines UNION ALL SELECT doc_id, line_no + 100000, rtrim(text, '.') || '-', 'tail' FROM lines)"""))
+FROM (SELECT doc_id, line_no, 'moun-' AS a, text FROM lines UNION ALL SELECT doc_id, line_no + 100000, rtrim(text, '.') || '-', 'tail' FROM lines)"""))
 def text_dehyphenate(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = feeds.lines(spark, sf_dir)
-    a = lines.select("doc_id", "line_no", F.lit("infla-").alias("a"), F.col("text").alias("b"))
+    a = lines.select("doc_id", "line_no", F.lit("moun-").alias("a"), F.col("text").alias("b"))
     b = lines.select("doc_id", F.col("line_no") + 100000, F.concat(F.regexp_replace("text", r"\.+$", ""), F.lit("-")), F.lit("tail"))
     return a.union(b).select("doc_id", "line_no", T.join_hyphenated(F.col("a"), F.col("b")).alias("joined"))
 
@@ -139,9 +139,22 @@ def heading_body_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.body_sizes(feeds.layout(spark, sf_dir))
 
 
-@query()
+@query(of_layout(BODY_SQL + r""",
+told AS (SELECT doc_id, page, seq, size, bold, trim(text) AS s, ltrim(text) AS l, avg(bold::INT) OVER (PARTITION BY doc_id) > 0.55 AS saturated FROM layout),
+parts AS (SELECT *, regexp_extract(l, '(?s)^([•●○▪■‣⁃∙·‐–—*◦➢-])\s+\S.*$', 1) AS b, regexp_extract(l, '(?s)^\(?(\d{1,3}|[ivxlcdm]{1,7}|[A-Za-z])[.)\]]\s+\S.*$', 1) AS o,
+    trim(regexp_extract(l, '(?s)^\(?(?:\d{1,3}|[ivxlcdm]{1,7}|[A-Za-z])[.)\]]\s+(.*)$', 1)) AS r, regexp_extract(s, '^(\d{1,2}(?:\.\d{1,2}){0,4})\.?\s+\S', 1) AS n FROM told),
+facts AS (SELECT doc_id, page, seq, size, bold, s, size / body AS ratio, bold AND NOT saturated AS strong, b <> '' AS bullet,
+    b = '' AND o <> '' AND NOT (regexp_matches(o, '^[A-Za-z]$') AND regexp_matches(r, '^\p{Lu}') AND len(regexp_split_to_array(r, '\s+')) <= 3) AS ordered,
+    CASE WHEN n <> '' THEN length(n) - length(replace(n, '.', '')) + 1 END AS depth,
+    (s <> '' AND ((regexp_matches(s, '[.!?][''"”’)\]]?$') AND NOT ends_with(s, '..') AND (length(s) > 90 OR regexp_matches(s, '[.!?]\s+[A-Z]'))) OR length(s) > 220)) AS sentence FROM parts JOIN body USING (doc_id)),
+candidates AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY round(size, 1) DESC, bold DESC) AS rank, count(depth) OVER (PARTITION BY doc_id) AS numbered, count(*) OVER (PARTITION BY doc_id) AS total FROM facts
+    WHERE CASE WHEN s = '' OR length(s) > 200 OR bullet THEN false WHEN ordered AND NOT (strong OR ratio >= 1.12) THEN false WHEN sentence AND ratio < 1.45 THEN false
+        WHEN ratio >= 1.12 OR strong AND ratio >= 0.98 THEN true ELSE s = upper(s) AND NOT regexp_matches(s, '\p{Ll}') AND regexp_matches(s, '\p{L}') AND length(s) <= 90 AND ratio >= 0.98 END),
+leveled AS (SELECT doc_id, page, seq, least(6, CASE WHEN numbered >= 2 AND numbered >= 0.4 * total AND depth IS NOT NULL THEN depth ELSE rank END) AS level FROM candidates)
+SELECT doc_id, page, seq, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY level) AS INT) AS level FROM leveled"""))
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.normalized_levels(L.heading_levels(feeds.layout(spark, sf_dir), Options())).select("doc_id", "page", "seq", "level")
+    lines = feeds.layout(spark, sf_dir)
+    return L.normalized_levels(L.heading_model(lines, L.body_sizes(lines), Options())).select("doc_id", "page", "seq", "level")
 
 
 @query(of_layout(""", items AS (SELECT doc_id, page, seq, top, CASE WHEN seq % 8 IN (0, 4, 7) THEN -1 ELSE CAST(seq % 2 AS INT) END AS col FROM layout),

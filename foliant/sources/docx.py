@@ -47,6 +47,7 @@ class Package:
 
     def __init__(self, data: bytes):
         self.zip = zipfile.ZipFile(io.BytesIO(data))
+        self.warnings: list[str] = []
         self.styles, self.default_size = self.read_styles()
         self.formats = self.read_numbering()
         self.notes = {kind: self.read_notes(kind) for kind in ("footnote", "endnote")}
@@ -58,6 +59,14 @@ class Package:
         except KeyError:
             return None
 
+    def side_part(self, name: str, what: str):
+        """A part that a document can do without: if it can't be read, that is told and it counts as missing."""
+        try:
+            return self.part(name)
+        except (ElementTree.ParseError, zipfile.BadZipFile, ValueError) as error:
+            self.warnings.append(f"could not read {what} part: {error}")
+            return None
+
     @staticmethod
     def value(parent, path: str) -> str | None:
         found = parent.find("/".join(W + p for p in path.split("/"))) if parent is not None else None
@@ -72,7 +81,7 @@ class Package:
         return int(v) / 2 or None if v.isdigit() else None
 
     def read_styles(self) -> tuple[dict, float]:
-        root, raw = self.part("styles"), {}
+        root, raw = self.side_part("styles", "styles"), {}
         default = self.half_points(root.find(f"{W}docDefaults/{W}rPrDefault/{W}rPr")) if root is not None else None
         for s in root.iter(f"{W}style") if root is not None else ():
             run, outline = s.find(f"{W}rPr"), self.value(s, "pPr/outlineLvl") or ""
@@ -87,14 +96,17 @@ class Package:
         return done, default or 11.0
 
     def read_numbering(self) -> dict[tuple[str, int], str]:
-        root = self.part("numbering")
+        root = self.side_part("numbering", "numbering")
         if root is None:
             return {}
         levels = {(a.get(f"{W}abstractNumId"), int(v.get(f"{W}ilvl", "0"))): self.value(v, "numFmt") or "" for a in root.iter(f"{W}abstractNum") for v in a.iter(f"{W}lvl")}
-        return {(n.get(f"{W}numId"), lv): f for n in root.iter(f"{W}num") for (a, lv), f in levels.items() if a == self.value(n, "abstractNumId")}
+        found = {(n.get(f"{W}numId"), lv): f for n in root.iter(f"{W}num") for (a, lv), f in levels.items() if a == self.value(n, "abstractNumId")}
+        if levels and not found:
+            self.warnings.append("numbering.xml defined no usable list levels")
+        return found
 
     def read_notes(self, kind: str) -> dict[str, str]:
-        root = self.part(f"{kind}s")
+        root = self.side_part(f"{kind}s", "notes")
         found = {}
         for n in root.iter(f"{W}{kind}") if root is not None else ():
             if n.get(f"{W}type") not in ("separator", "continuationSeparator", "continuationNotice"):
@@ -171,12 +183,12 @@ class Package:
 
 
     def about(self) -> dict:
-        """Title, author and last editor, as a row of kind ``about``."""
+        """Title, author and last editor, and what went wrong in side parts, as a row of kind ``about``."""
         found = {}
         if "docProps/core.xml" in self.zip.namelist():
             for x in ElementTree.fromstring(self.zip.read("docProps/core.xml")):
                 found[x.tag.rpartition("}")[2]] = (x.text or "").strip() or None
-        return {"pos": -2, "kind": "about", "rows": [[found.get(k) for k in ("title", "creator", "lastModifiedBy")]]}
+        return {"pos": -2, "kind": "about", "rows": [[found.get(k) for k in ("title", "creator", "lastModifiedBy")], self.warnings]}
 
 
 def decode(files: DataFrame) -> DataFrame:
@@ -209,9 +221,9 @@ def blocks_of(rows: DataFrame, options: Options | None = None) -> DataFrame:
     authority = F.when(named != "", named.try_cast("int")).when(style.isin("title", "titel"), 1).when(style.isin("subtitle", "untertitel"), 2).when(c("outline") <= 8, c("outline") + 1)
     rows = rows.withColumn("authority", F.when(c("kind") == "p", authority)).withColumn("is_item", (c("kind") == "p") & (c("num_id").isNotNull() | (style.contains("list") & T.list_marker(c("text")).isNotNull())))
     doc = Window.partitionBy("doc_id")
-    lines = rows.where("kind = 'p'").select("doc_id", c("pos").alias("seq"), F.lit(None).cast("int").alias("page"), "text", "size", "bold")
-    bodies = layout.body_sizes(lines, 0)
-    guessed = layout.heading_levels(rows.where("kind = 'p'").select("doc_id", c("pos").alias("seq"), F.lit(None).cast("int").alias("page"), "text", "size", "bold"), options)
+    lines = rows.where("kind = 'p'").select("doc_id", c("pos").alias("seq"), F.lit(None).cast("int").alias("page"), "text", "size", "bold", c("is_item").alias("listed"))
+    bodies = layout.body_sizes(lines, 0, spaces=True, default=11.0)
+    guessed = layout.heading_model(lines, bodies, options, numbers=False)
     rows = rows.join(bodies, "doc_id", "left").join(guessed.select("doc_id", c("seq").alias("pos"), c("level").alias("guess")), ["doc_id", "pos"], "left")
     known = F.max(c("authority").isNotNull()).over(doc)
     level = F.when(known, c("authority")).when(~c("is_item"), c("guess")) if options.detect_headings else F.lit(None).cast("int")

@@ -30,8 +30,8 @@ def test_formats_by_content():
 
 def test_document(spark):
     doc = foliant.parse(ruled(), table_mode="csv", options=foliant.Options(table_mode="html", keep_headers=True))
-    assert doc.corpus.options.keep_headers and "```csv" in doc.markdown and "<th>Region</th>" in doc.render(foliant.Options(table_mode="html"))
-    assert doc.outline() == [(1, "Results")] and len(doc.tables()) == 1 and len(doc) == 3 and "Region\tRevenue" in doc.text
+    assert doc.corpus.options.keep_headers and "```csv" in doc.markdown and "<th>Station</th>" in doc.render(foliant.Options(table_mode="html"))
+    assert doc.outline() == [(1, "Results")] and len(doc.tables()) == 1 and len(doc) == 3 and "Station\tRainfall" in doc.text
     assert json.loads(doc.to_json())["source"]["format"] == "pdf"
 
 

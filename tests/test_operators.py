@@ -16,7 +16,7 @@ def over(spark, f, values):
 
 def test_text(spark):
     assert over(spark, T.normalize_unicode, ["oﬃce­​", "a b\tc", "é “q”", None]) == ["office", "a b c", "é\n“q”", None]
-    assert over(spark, lambda v: T.join_hyphenated(v, F.lit(" tionary x")), ["infla- ", "x-", "infla", "infla-"]) == ["inflationary x", None, None, "inflationary x"]
+    assert over(spark, lambda v: T.join_hyphenated(v, F.lit(" tainous x")), ["moun- ", "x-", "moun", "moun-"]) == ["mountainous x", None, None, "mountainous x"]
     assert over(spark, T.escape_markdown, ["# a\n---\nb `c`", "12. x", "  + y", "*em*"]) == ["\\# a\n\\---\nb \\`c\\`", "\\12. x", "  \\+ y", "*em*"]
     assert over(spark, T.escape_cell, [" a|b\n c\\ "]) == ["a\\|b<br>c\\\\"]
     assert over(spark, T.looks_like_page_number, ["12", "- 3 -", "Page 3 of 40", "xiv", "A-3", "12 monkeys", "", "[ 4 ]"]) == [True] * 5 + [False, False, True]
@@ -26,7 +26,7 @@ def test_text(spark):
     assert over(spark, T.number_depth, ["3.2.1 Scope", "1. Intro", "Scope", "2024 was"]) == [3, 1, None, None]
     caps = over(spark, T.caption_label, ["Table 3.1: Revenue", "Fig. 2 - A map", "Table 4", "Chapter 2. x"])
     assert [c and (c.kind, c.label) for c in caps] == [("table", "Table 3.1"), ("figure", "Fig 2"), None, None]
-    assert over(spark, T.is_numeric_cell, ["1,204", "12%", "$-3.5", "1e5", "1d", "", "n/a", "1_000", ".5"]) == [True, True, True, True, False, False, False, True, True]
+    assert over(spark, T.is_numeric_cell, ["2,381", "7%", "$-3.5", "1e5", "1d", "", "n/a", "1_000", ".5"]) == [True, True, True, True, False, False, False, True, True]
     assert over(spark, T.superscript_digits, ["x²"]) == ["x2"]
 
 
@@ -52,7 +52,7 @@ def test_headings_and_furniture(spark):
     assert [tuple(r) for r in L.repeated_lines(lines, Options()).collect()] == [("d", "header", "annual report", 4)]
     assert {(r.page, r.seq) for r in L.page_numbers(lines, Options()).collect()} == {(p, 5) for p in range(1, 5)}
     assert L.body_sizes(lines).first().body == 10.5
-    assert {(r.seq, r.level) for r in L.heading_levels(lines, Options()).collect()} == {(2, 1), (4, 2)}
+    assert {(r.seq, r.level) for r in L.heading_model(lines, L.body_sizes(lines), Options()).collect()} == {(2, 1), (4, 2)}
 
 
 def test_options():
