@@ -104,13 +104,13 @@ def supplier_report(r: dict) -> bytes:
         pages.append([
             text(72, 40, f"Report of {r['s_name']}", 8), text(72, 120, f"Part {n} of the report", 14, True),
             text(72, 150, f"The supplier {r['s_name']} delivers to nation number {r['s_nationkey']} and"), text(430, 145.5, str(n), 7),
-            text(72, 164, f"of this page {n} tells a story about the rate of infla-"), text(72, 178, "tion in the years that the report covers, as it must."), text(72, 215, "- first point of the list"), text(90, 231, "- nested point of the list"), text(72, 247, "- last point of the list"),
+            text(72, 164, f"of this page {n} tells a story about the height of moun-"), text(72, 178, "tains in the years that the report covers, as it must."), text(72, 215, "- first point of the list"), text(90, 231, "- nested point of the list"), text(72, 247, "- last point of the list"),
             text(72, 700, f"{n}  Note {n} explains the claim in more depth.", 8), text(300, 760, str(n), 9),
         ])
     return write(pages, r["s_name"])
 
 
-PAGE_SQL = """'# Part {n} of the report' || e || 'The supplier ' || s_name || ' delivers to nation number ' || s_nationkey || ' and[^{n}] of this page {n} tells a story about the rate of inflation in the years that the report covers, as it must.' || e || '[^{n}]: Note {n} explains the claim in more depth.'
+PAGE_SQL = """'# Part {n} of the report' || e || 'The supplier ' || s_name || ' delivers to nation number ' || s_nationkey || ' and[^{n}] of this page {n} tells a story about the height of mountains in the years that the report covers, as it must.' || e || '[^{n}]: Note {n} explains the claim in more depth.'
     || e || '- first point of the list' || chr(10) || '  - nested point of the list' || chr(10) || '- last point of the list'"""
 
 
