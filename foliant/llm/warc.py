@@ -169,10 +169,13 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
     all executors share, and return their manifest (``name, records``).
 
     Each attempt of a task uses names of its own, and the manifest has only the
-    names of attempts that ended well, so repeated or lost tasks do no harm."""
+    names of attempts that ended well, so repeated or lost tasks do no harm. A path
+    without a scheme is one of Spark's default file system, for writer and reader alike."""
+    path = records.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    folder = path.getFileSystem(records.sparkSession._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+        files, root = (pafs.LocalFileSystem(), folder.removeprefix("file:")) if folder.startswith("file:/") and "://" not in folder else pafs.FileSystem.from_uri(folder)
         held: list[bytes] = []
         size = 0
 
