@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import tables as G
@@ -14,7 +14,7 @@ from ..options import Options
 from ..sources import pdf
 from ..sources.docx_writer import cell_table, package, paragraph
 from ..sources.pdf_writer import grid, text, write
-from . import convert
+from . import convert, evaluate
 from .queries import query
 
 
@@ -165,3 +165,143 @@ def glyph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = pages.repartition(spark.sparkContext.defaultParallelism, "doc_id", "page")
     found = convert.elements(pages, Options(normalize_unicode=False, detect_columns=False))
     return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), "page", "seq", "text")
+
+
+def survey_page(r: dict) -> bytes:
+    xs, ys = [72.0, 200.0, 420.0], [230.0, 250.0, 270.0, 290.0]
+    cells = [("Station", "Depth"), ("North", str(r["s_nationkey"])), ("South", "77")]
+    return write([[
+        text(72, 90, "Survey of the northern", 18, True), text(72, 110, f"rivers by {r['s_name']}", 18, True),
+        text(72, 150, f"The first paragraph tells what the survey of {r['s_name']} found and how"),
+        text(72, 180, "1. first measured station"), text(72, 196, "2. second measured station"),
+        grid(xs, ys), *[text(xs[c] + 5, ys[k] + 14, cell, 10, k == 0) for k, row in enumerate(cells) for c, cell in enumerate(row)],
+        text(72, 312, "Table 1. Depths at the stations of the survey.", 9),
+    ]])
+
+
+SURVEY = """SELECT s_suppkey, unnest([0, 1, 2, 3, 4]) AS "order", unnest(['heading', 'paragraph', 'list', 'table', 'caption']) AS type, unnest([1, NULL, 1, NULL, NULL]) AS level,
+    unnest(['Survey of the northern rivers by ' || s_name, 'The first paragraph tells what the survey of ' || s_name || ' found and how', '1. first measured station' || chr(10) || '2. second measured station',
+        'Station' || chr(9) || 'Depth' || chr(10) || 'North' || chr(9) || s_nationkey || chr(10) || 'South' || chr(9) || '77', 'Table 1. Depths at the stations of the survey.']) AS text,
+    unnest([NULL, NULL, NULL, 'Table 1. Depths at the stations of the survey.', NULL]) AS caption, unnest([NULL, NULL, NULL, 'Table 1', 'Table 1']) AS label, unnest([NULL, NULL, NULL, NULL, 3]) AS target FROM supplier"""
+
+
+@query(SURVEY)
+def pdf_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A heading over two lines, a numbered list, a ruled table and its caption, as blocks."""
+    files = made(table(spark, sf_dir, "supplier", "s_suppkey").select("doc_id", "s_name", "s_nationkey"), survey_page)
+    _, blocks = convert.parse_files(files)
+    return blocks.select(F.col("doc_id").cast("bigint").alias("s_suppkey"), "order", "type", "level", "text", "caption", "label", F.col("target_order").alias("target"))
+
+
+@query("""SELECT s_suppkey, unnest([1, 2]) AS level_order, unnest([2, 3]) AS page, 'Part ' || unnest([2, 3]) || ' of the report' AS heading FROM supplier""")
+def pdf_page_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = made(table(spark, sf_dir, "supplier", "s_suppkey").select("doc_id", "s_name", "s_nationkey"), supplier_report)
+    _, blocks = convert.parse_files(files, Options(pages=(2, 9)))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("order"))
+    return blocks.where("type = 'heading'").select(F.col("doc_id").cast("bigint").alias("s_suppkey"), nth.alias("level_order"), "page", F.col("text").alias("heading"))
+
+
+@query("""SELECT s_suppkey, unnest(['header', 'page_number']) AS artifact, 3 AS n, unnest(['Report of ' || s_name, '2']) AS second FROM supplier""")
+def pdf_kept_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = made(table(spark, sf_dir, "supplier", "s_suppkey").select("doc_id", "s_name", "s_nationkey"), supplier_report)
+    _, blocks = convert.parse_files(files, Options(keep_headers=True))
+    kept = blocks.where("artifact IS NOT NULL").groupBy("doc_id", "artifact").agg(F.count("*").cast("int").alias("n"), F.max(F.when(F.col("page") == 2, F.col("text"))).alias("second"))
+    return kept.select(F.col("doc_id").cast("bigint").alias("s_suppkey"), "artifact", "n", "second")
+
+
+@query("""SELECT s_suppkey, unnest([1, 2, 3]) AS k, 1 AS level, 'Part ' || unnest([1, 2, 3]) || ' of the report' AS heading FROM supplier""")
+def pdf_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = made(table(spark, sf_dir, "supplier", "s_suppkey").select("doc_id", "s_name", "s_nationkey"), supplier_report)
+    _, blocks = convert.parse_files(files)
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("order"))
+    return convert.outline(blocks).select(F.col("doc_id").cast("bigint").alias("s_suppkey"), nth.alias("k"), "level", F.col("text").alias("heading"))
+
+
+@query("""SELECT s_suppkey, 'pdf' AS format, 1 AS n_pages, 5 AS n_blocks, 'Survey of the northern rivers by ' || s_name AS heading, 'Station' AS first_cell, '2' AS marker, 0 AS n_warnings,
+    '# Survey of the northern rivers by ' || s_name AS start FROM supplier""")
+def pdf_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = made(table(spark, sf_dir, "supplier", "s_suppkey").select("doc_id", "s_name", "s_nationkey"), survey_page)
+    found = convert.as_json(*convert.parse_files(files))
+    at = lambda path: F.get_json_object("json", path)
+    blocks = F.json_array_length(at("$.blocks"))
+    return found.select(
+        F.col("doc_id").cast("bigint").alias("s_suppkey"), at("$.source.format").alias("format"), at("$.source.n_pages").cast("int").alias("n_pages"), blocks.alias("n_blocks"), at("$.blocks[0].text").alias("heading"),
+        at("$.blocks[3].rows[0][0]").alias("first_cell"), at("$.blocks[2].items[1].marker").alias("marker"), F.json_array_length(at("$.warnings")).alias("n_warnings"), F.substring_index(at("$.markdown"), "\n", 1).alias("start"),
+    )
+
+
+@query("""SELECT s_suppkey, 'Survey of the northern rivers by ' || s_name || e || 'The first paragraph tells what the survey of ' || s_name || ' found and how' || e || '1. first measured station' || chr(10) || '2. second measured station' || e
+    || 'Station' || chr(9) || 'Depth' || chr(10) || 'North' || chr(9) || s_nationkey || chr(10) || 'South' || chr(9) || '77' || e || 'Table 1. Depths at the stations of the survey.' AS text FROM (SELECT *, chr(10) || chr(10) AS e FROM supplier)""")
+def pdf_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = made(table(spark, sf_dir, "supplier", "s_suppkey").select("doc_id", "s_name", "s_nationkey"), survey_page)
+    _, blocks = convert.parse_files(files)
+    return convert.plain_text(blocks).select(F.col("doc_id").cast("bigint").alias("s_suppkey"), "text")
+
+
+def supplier_package(r: dict) -> bytes:
+    name = r["s_name"]
+    body = [
+        paragraph(f"Dossier of {name}", "Title"), paragraph("The supplier answers within two days", note=4), paragraph("Duties", "Heading2"),
+        paragraph("ships on time", num=1), paragraph(f"from nation {r['s_nationkey']}", num=1, level=1), paragraph("keeps records", num=1), paragraph("call first", num=2), paragraph("then write", num=2),
+        cell_table([["Item", "Weight", "Place"], [("both columns", 2), "hall"], [name, "12", None], ["", "", ""]], header=True), paragraph("Goods and where they lie", "Caption"),
+    ]
+    return package(body, name, {3: "Never cited.", 4: "Counted in working days."})
+
+
+@query("""SELECT s_suppkey, '# Dossier of ' || s_name || e || 'The supplier answers within two days[^1]' || e || '[^1]: Counted in working days.' || e || '## Duties' || e || '- ships on time' || chr(10) || '  - from nation ' || s_nationkey || chr(10) || '- keeps records' || e
+    || '1. call first' || chr(10) || '2. then write' || e || '| Item | Weight | Place |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| both columns |  | hall |' || chr(10) || '| ' || s_name || ' | 12 |  |' || chr(10) || '|  |  |  |' || e || '*Goods and where they lie*' || chr(10) AS markdown
+    FROM (SELECT *, chr(10) || chr(10) AS e FROM supplier)""")
+def docx_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles, notes, nested and numbered lists, merged cells and captions of packages."""
+    files = made(table(spark, sf_dir, "supplier", "s_suppkey").select("doc_id", "s_name", "s_nationkey"), supplier_package)
+    _, blocks = convert.parse_files(files)
+    return convert.markdown(blocks).select(F.col("doc_id").cast("bigint").alias("s_suppkey"), "markdown")
+
+
+def unstyled_package(r: dict) -> bytes:
+    plain = f"Customer {r['c_name']} buys for the segment {r['c_mktsegment']} and pays when the goods are there"
+    return package([paragraph(r["c_name"], size=18, bold=True), paragraph(plain), paragraph("Payment", size=14, bold=True), paragraph(plain), paragraph("Large item", size=18, bold=True, num=1), paragraph("Delivery", size=14, bold=True), paragraph(plain)])
+
+
+@query("""SELECT c_custkey, unnest(['heading', 'paragraph', 'heading', 'paragraph', 'list', 'heading', 'paragraph']) AS type, unnest([0, 1, 2, 3, 4, 5, 6]) AS "order", unnest([1, NULL, 2, NULL, NULL, 2, NULL]) AS level,
+    unnest([round(18 / 11.0, 3), 1.0, round(14 / 11.0, 3), 1.0, round(18 / 11.0, 3), round(14 / 11.0, 3), 1.0])::DOUBLE AS size_ratio FROM customer""")
+def docx_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages without heading styles: levels by the rank of size and weight, list items left out."""
+    files = made(table(spark, sf_dir, "customer", "c_custkey").select("doc_id", "c_name", "c_mktsegment"), unstyled_package)
+    _, blocks = convert.parse_files(files)
+    return blocks.select(F.col("doc_id").cast("bigint").alias("c_custkey"), "type", "order", "level", "style.size_ratio")
+
+
+def audited_report(r: dict) -> bytes:
+    name, nation = r["s_name"], r["s_nationkey"]
+    return write([[
+        text(72, 40, f"Confidential matter of {name}", 8), text(72, 120, f"Chapter {n} of the audit", 14, True),
+        text(72, 150, f"On sheet {n} the auditors looked at {name} from nation {nation} and"), text(72, 164, f"found {n * 17} pallets with goods of every kind in the yard"), text(300, 760, str(n), 9),
+    ] for n in (1, 2, 3)])
+
+
+WORDS_OF = r"list_distinct(list_filter(string_split(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: length(w) > 3 AND w NOT IN ('with', 'were', 'that', 'this') AND NOT regexp_matches(w, '^\d+$')))"
+SHEET = "'Chapter {n} of the audit' || {end} || 'On sheet {n} the auditors looked at ' || s_name || ' from nation ' || s_nationkey || ' and' || {gap} || 'found {pallets} pallets with goods of every kind in the yard'"
+sheet = lambda n, end, gap: SHEET.format(n=n, pallets=n * 17, end=end, gap=gap)
+MEASURED = f"""WITH t AS (SELECT s_suppkey, {" || chr(10) || ".join(f"'Confidential matter of ' || s_name || chr(10) || {sheet(n, 'chr(10)', 'chr(10)')} || chr(10) || '{n}'" for n in (1, 2, 3))} AS base,
+    {" || chr(10) || chr(10) || ".join("'# ' || " + sheet(n, "chr(10) || chr(10)", "' '") for n in (1, 2, 3))} || chr(10) AS md FROM supplier),
+w AS (SELECT s_suppkey, CAST(greatest(1, round_even(length(base) / 4.0, 0)) AS INT) AS baseline_tokens, CAST(greatest(1, round_even(length(md) / 4.0, 0)) AS INT) AS tokens, {WORDS_OF.format("base")} AS before, {WORDS_OF.format("md")} AS after FROM t),
+m AS (SELECT s_suppkey, baseline_tokens, tokens, round(100.0 * (1 - tokens / baseline_tokens), 6) AS reduction, 3 AS headings, 0 AS tables, 0 AS footnotes, 6 AS blocks, round(len(list_intersect(before, after)) / len(before), 6) AS content_kept FROM w)"""
+
+
+def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.measured(made(table(spark, sf_dir, "supplier", "s_suppkey").select("doc_id", "s_name", "s_nationkey"), audited_report))
+
+
+@query(MEASURED + "\nSELECT * FROM m")
+def eval_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audited(spark, sf_dir)
+    counts = [F.col(c).cast("int").alias(c) for c in ("headings", "tables", "footnotes", "blocks")]
+    return found.select(F.col("doc_id").cast("bigint").alias("s_suppkey"), "baseline_tokens", "tokens", F.round("reduction", 6).alias("reduction"), *counts, F.round("content_kept", 6).alias("content_kept"))
+
+
+@query(MEASURED + """\nSELECT CAST(sum(baseline_tokens) AS BIGINT) AS baseline_tokens, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(headings) AS BIGINT) AS headings, CAST(sum(blocks) AS BIGINT) AS blocks, round(median(reduction), 4) AS median_reduction,
+    round(median(content_kept), 4) AS median_kept, round(min(content_kept), 4) AS worst_kept, round(100.0 * (1 - sum(tokens) / sum(baseline_tokens)), 4) AS corpus_reduction FROM m""")
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = evaluate.report(audited(spark, sf_dir))
+    return told.select("baseline_tokens", "tokens", "headings", "blocks", *(F.round(c, 4).alias(c) for c in ("median_reduction", "median_kept", "worst_kept", "corpus_reduction")))

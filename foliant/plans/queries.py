@@ -257,10 +257,3 @@ def caption_nearest_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", F.size(T.content_words(F.col("text"))).alias("n_words"), T.token_estimate(F.col("text")).alias("tokens"))
-
-
-@query("""SELECT source, round(median(100.0 * (1 - length(regexp_replace(text, '[ ]{2,}', ' ', 'g')) / length(text))), 6) AS median_reduction, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY ROLLUP (source)""")
-def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    kept = F.length(F.regexp_replace("text", "[ ]{2,}", " ")) / F.length("text")
-    return docs.rollup("source").agg(F.round(F.median(100.0 * (1 - kept)), 6).alias("median_reduction"), F.sum(F.length("text")).alias("chars"))
