@@ -6,7 +6,7 @@ from importlib import import_module
 
 __version__ = "0.1.0"
 HOMES = {
-    "api": ("Corpus", "Document", "detect_format", "parse", "parse_bytes", "parse_corpus"),
+    "api": ("Block", "Corpus", "Document", "Table", "detect_format", "parse", "parse_bytes", "parse_corpus"),
     "errors": ("FoliantError", "MissingBackendError", "ParseError", "PasswordRequiredError", "UnsupportedFormatError"),
     "options": ("FOOTNOTE_MODES", "TABLE_MODES", "Options"),
 }

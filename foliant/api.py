@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import io
+import json
 import os
 import re
 import zipfile
 from dataclasses import fields
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from .errors import UnsupportedFormatError, error_of
+from .operators.geometry import HEAVY
 from .options import Options
 from .plans import convert
+from .plans.render import block_markdown
 from .sources.docx import sniff
 
 
@@ -90,15 +94,78 @@ class Corpus:
         return convert.as_json(self.documents, self.blocks, self.options)
 
 
+class Table:
+    """A grid: its ``header``, or None, and the ``rows`` below it."""
+
+    def __init__(self, rows: list[list[str]], has_header: bool, ruled: bool | None):
+        self.header = list(rows[0]) if has_header and rows else None
+        self.rows = [list(r) for r in rows[1 if self.header is not None else 0 :]]
+        self.ruled = bool(ruled)
+
+    def all_rows(self) -> list[list[str]]:
+        return [*([] if self.header is None else [self.header]), *self.rows]
+
+    @property
+    def n_rows(self) -> int:
+        return len(self.all_rows())
+
+    @property
+    def n_cols(self) -> int:
+        return max(map(len, self.all_rows()), default=0)
+
+
+class Block:
+    """One block: its fields by key or attribute, and ``markdown``, itself in default options."""
+
+    def __init__(self, row: Row, corpus: Corpus):
+        self.row, self.corpus = row, corpus
+
+    def __getitem__(self, name: str):
+        return self.row[name]
+
+    def __getattr__(self, name: str):
+        if name.startswith("_") or name not in self.row.__fields__:
+            raise AttributeError(name)
+        return self.row[name]
+
+    @property
+    def table(self) -> Table | None:
+        return None if self.row["rows"] is None else Table(self.row["rows"], self.row["has_header"], self.row["ruled"])
+
+    @property
+    def is_bold(self) -> bool:
+        return self.weight("bold_ratio") >= HEAVY
+
+    @property
+    def is_italic(self) -> bool:
+        return self.weight("italic_ratio") >= HEAVY
+
+    def weight(self, ratio: str) -> float:
+        return 0.0 if self.row["style"] is None else self.row["style"][ratio] or 0.0
+
+    def render(self, options: Options) -> str:
+        """This block alone, in the options given."""
+        own = self.corpus.blocks.where((F.col("doc_id") == self.row["doc_id"]) & (F.col("order") == self.row["order"]))
+        return own.select(block_markdown(options).alias("markdown")).first()["markdown"]
+
+    def to_dict(self) -> dict:
+        return self.row.asDict(recursive=True)
+
+    def __repr__(self) -> str:
+        level = "" if self.row["level"] is None else f" {self.row['level']}"
+        return f"Block({self.row['type']}{level}, {self.row['text'][:40]!r})"
+
+
 class Document:
-    """One document, its blocks as rows in order."""
+    """One document, its blocks in order."""
 
     def __init__(self, corpus: Corpus):
         self.corpus = corpus
         self.source: Row = corpus.documents.first()
         if self.source["error"]:
             raise error_of(self.source["error"])
-        self.blocks: list[Row] = corpus.blocks.orderBy("order").collect()
+        rows = corpus.blocks.withColumn("markdown", block_markdown(Options())).orderBy("order").collect()
+        self.blocks = [Block(r, corpus) for r in rows]
 
     @property
     def warnings(self) -> list[str]:
@@ -116,14 +183,14 @@ class Document:
     def text(self) -> str:
         return "\n\n".join(b["text"] for b in self.blocks if b["text"].strip())
 
-    def of_type(self, *types: str) -> list[Row]:
+    def of_type(self, *types: str) -> list[Block]:
         return [b for b in self.blocks if b["type"] in types]
 
-    def headings(self) -> list[Row]:
+    def headings(self) -> list[Block]:
         return self.of_type("heading")
 
-    def tables(self) -> list[Row]:
-        return [b for b in self.blocks if b["rows"] is not None]
+    def tables(self) -> list[Table]:
+        return [b.table for b in self.blocks if b.table is not None]
 
     def footnotes(self) -> list[Row]:
         return [n for b in self.blocks for n in b["notes"] or ()]
@@ -131,8 +198,11 @@ class Document:
     def outline(self) -> list[tuple[int, str]]:
         return [(b["level"] or 1, b["text"]) for b in self.headings()]
 
-    def to_json(self) -> str:
-        return self.corpus.json().first()["json"]
+    def to_dict(self) -> dict:
+        return json.loads(self.corpus.json().first()["json"])
+
+    def to_json(self, indent: int | None = 2) -> str:
+        return json.dumps(self.to_dict(), indent=indent, ensure_ascii=False)
 
     def __iter__(self):
         return iter(self.blocks)

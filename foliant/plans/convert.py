@@ -20,7 +20,7 @@ from ..operators import layout as L
 from ..operators import pages as P
 from ..options import Options
 from ..sources import docx, pdf
-from .render import document_markdown
+from .render import block_markdown, document_markdown
 from .storage import stored
 
 WORD = "struct<text:string,x0:double,top:double,x1:double,bottom:double,size:double,font:string,bold:boolean,italic:boolean,sup:boolean>"
@@ -322,7 +322,8 @@ def footnotes(blocks: DataFrame) -> DataFrame:
 
 
 def as_json(documents: DataFrame, blocks: DataFrame, options: Options | None = None) -> DataFrame:
-    """``doc_id, json``: a document with its Markdown and all its blocks."""
-    own = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("order", *(c for c in COMMON if c not in ("doc_id", "order"))))).alias("blocks"))
+    """``doc_id, json``: a document with its Markdown and all its blocks, each with its own in default options."""
+    told = [c for c in COMMON if c not in ("doc_id", "order")]
+    own = blocks.withColumn("markdown", block_markdown(Options())).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("order", *told, "markdown"))).alias("blocks"))
     both = documents.join(markdown(blocks, options), "doc_id", "left").join(own, "doc_id", "left")
     return both.select("doc_id", F.to_json(F.struct("markdown", F.struct("format", "n_pages", "title", "author", "producer").alias("source"), "warnings", "error", "blocks"), {"ignoreNullFields": "false"}).alias("json"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +29,27 @@ def reduction(before: Column, after: Column) -> Column:
     return F.when(before == 0, 0.0).otherwise(100.0 * (1 - after / before))
 
 
-def measured(files: DataFrame, options: Options | None = None) -> DataFrame:
+def token_counter(vocabulary: str | None = None) -> Callable[[Column], Column]:
+    """Tokens of a text: by the tokenizers JSON file that ``vocabulary`` names, which the
+    driver reads and workers get with the function, or else a token for four characters."""
+    if vocabulary is None:
+        return T.token_estimate
+    with open(vocabulary, encoding="utf-8") as file:
+        made = file.read()
+
+    @F.pandas_udf("int")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_str(made)
+        own.encode_special_tokens = True
+        for texts in batches:
+            yield pd.Series([len(e.ids) for e in own.encode_batch(texts.tolist(), add_special_tokens=False)], dtype="int32")
+
+    return count
+
+
+def measured(files: DataFrame, options: Options | None = None, vocabulary: str | None = None) -> DataFrame:
     """Per document: tokens both ways, structure counts, and ``content_kept``, the
     share of different words, of those that plain extraction and conversion with
     headers both have, that the output has too (1 where there are none)."""
@@ -41,9 +64,11 @@ def measured(files: DataFrame, options: Options | None = None) -> DataFrame:
     texts = plain_extraction(files).join(convert.markdown(blocks, options), "doc_id").join(convert.markdown(whole, options).withColumnRenamed("markdown", "whole"), "doc_id")
     base = F.array_intersect(T.content_words(F.col("text")), T.content_words(F.col("whole")))
     kept = F.size(F.array_intersect(base, T.content_words(F.col("markdown")))) / F.size(base)
-    before, after = T.token_estimate(F.col("text")), T.token_estimate(F.col("markdown"))
+    tokens = token_counter(vocabulary)
+    texts = texts.withColumn("baseline_tokens", tokens(F.col("text"))).withColumn("tokens", tokens(F.col("markdown")))
+    before, after = F.col("baseline_tokens"), F.col("tokens")
     return texts.join(counts, "doc_id").select(
-        "doc_id", before.alias("baseline_tokens"), after.alias("tokens"), reduction(before, after).alias("reduction"), "headings", "tables", "lists", "footnotes", "blocks", F.when(F.size(base) == 0, 1.0).otherwise(kept).alias("content_kept")
+        "doc_id", before, after, reduction(before, after).alias("reduction"), "headings", "tables", "lists", "footnotes", "blocks", F.when(F.size(base) == 0, 1.0).otherwise(kept).alias("content_kept")
     )
 
 

@@ -6,7 +6,7 @@ import json
 import pytest
 
 import foliant
-from foliant import cli
+from foliant import cli, evaluation
 from foliant.plans import evaluate
 from foliant.streaming import folder
 from foliant.sources.docx_writer import cell_table, package, paragraph
@@ -32,7 +32,14 @@ def test_document(spark):
     doc = foliant.parse(ruled(), table_mode="csv", options=foliant.Options(table_mode="html", keep_headers=True))
     assert doc.corpus.options.keep_headers and "```csv" in doc.markdown and "<th>Station</th>" in doc.render(foliant.Options(table_mode="html"))
     assert doc.outline() == [(1, "Results")] and len(doc.tables()) == 1 and len(doc) == 3 and "Station\tRainfall" in doc.text
-    assert json.loads(doc.to_json())["source"]["format"] == "pdf"
+    told = json.loads(doc.to_json())
+    assert told["source"]["format"] == "pdf" and [b["markdown"] for b in told["blocks"]] == [b.markdown for b in doc]
+    (grid,), block = doc.tables(), next(b for b in doc if b.type == "table")
+    assert grid.header[0] == "Station" and grid.n_rows == len(grid.all_rows()) and grid.n_cols == len(grid.header)
+    assert block.markdown.startswith("| Station |") and "<table>" in block.render(foliant.Options(table_mode="html")) and block.to_dict()["type"] == "table"
+    assert doc.headings()[0].is_bold and not doc.headings()[0].is_italic and repr(doc.headings()[0]) == "Block(heading 1, 'Results')"
+    with pytest.raises(AttributeError):
+        block.no_such_field  # noqa: B018
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -56,6 +63,18 @@ def test_evaluation(spark):
     assert rows["a"]["content_kept"] >= 0.9 and rows["b"]["content_kept"] == 1.0
 
 
+def test_evaluation_command(spark, tmp_path, capsys):
+    words = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": None, "model": {"type": "WordLevel", "vocab": {"?": 0}, "unk_token": "?"}}
+    (tmp_path / "words.json").write_text(json.dumps(words))
+    assert evaluation.main(["--check-content", "--json", str(tmp_path / "rows"), "--encoding", str(tmp_path / "words.json")], spark) == 0
+    rows = {r["doc_id"]: r for r in map(json.loads, (tmp_path / "rows").read_text().splitlines())}
+    counts = {name: tuple(r[c] for c in evaluation.COUNTS) for name, r in rows.items()}
+    assert counts == {"season_report.pdf": (12, 6, 0, 6), "tide_paper.pdf": (5, 0, 0, 0), "keys_memo.docx": (4, 1, 2, 1), "spring_report.pdf": (4, 2, 0, 2)}
+    assert "| **Total / median** |" in capsys.readouterr().out and min(r["content_kept"] for r in rows.values()) >= 0.9
+    assert rows["keys_memo.docx"]["baseline_tokens"] == 64  # words of its paragraphs, counted by hand
+    assert evaluation.main(["--docs", str(tmp_path / "none")], spark) == 2
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for k, data in enumerate((report(), b"other")):
