@@ -1,13 +1,13 @@
 """URL filters: host and path rules first, then a weighted vocabulary.
 
 An Aho-Corasick automaton finds strict and soft terms in a URL; a term counts if
-no letter or digit touches it. One strict term, or ``soft_limit`` different soft
-ones, reject the URL.
+no letter or digit touches it. One strict term rejects the URL, and so do two or more
+different soft ones whose weights (1 unless ``weights`` says otherwise) sum to ``soft_limit``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -57,7 +57,8 @@ class Filter:
     rules: Sequence[Rule] = RULES
     strict: Sequence[str] = STRICT
     soft: Sequence[str] = SOFT
-    soft_limit: int = 2
+    soft_limit: float = 2
+    weights: Mapping[str, float] = field(default_factory=dict)
     _by_host: dict = field(default_factory=dict, repr=False)
     _found: object = field(default=None, repr=False)
 
@@ -89,11 +90,15 @@ class Filter:
         found = {t for end, t in self._found.iter(low) if free(end - len(t)) and free(end + 1)}
         return found.intersection(self.strict), found.intersection(self.soft)
 
+    def weight(self, term: str) -> float:
+        return self.weights.get(term, 1.0)
+
     def judge(self, url: str | None) -> tuple[str, str, str | None, str, int, int]:
         host, path = split_url(url)
         fit = self.rule_for(host, path)
         strict, soft = self.terms(url or "") if url else (set(), set())
-        verdict = fit.verdict if fit else "block" if strict or len(soft) >= self.soft_limit else "allow"
+        heavy = len(soft) >= 2 and sum(map(self.weight, sorted(soft))) >= self.soft_limit
+        verdict = fit.verdict if fit else "block" if strict or heavy else "allow"
         return host, path, fit.text if fit else None, verdict, len(strict), len(soft)
 
 
@@ -101,11 +106,13 @@ def judge_urls(pages: DataFrame, filter_: Filter | None = None, id_col: str = "p
     """Host, path, the rule that fits and the verdict for every row of ``pages``.
 
     A null URL and one without ``://`` have empty host and path, fit no rule and
-    are judged by their terms (null: allowed). Repeated rows stay."""
+    are judged by their terms (null: allowed). Very long URLs are searched whole.
+    Repeated rows stay; an empty table gives an empty result, and other columns are
+    not read, whatever their names."""
     settings = filter_ or Filter()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Filter(settings.rules, settings.strict, settings.soft, settings.soft_limit).build()
+        own = Filter(settings.rules, settings.strict, settings.soft, settings.soft_limit, dict(settings.weights)).build()
         kinds = [pa.string()] * 4 + [pa.int32()] * 2
         names = [id_col, "host", "path", "rule", "verdict", "strict_hits", "soft_hits"]
         for b in batches:
@@ -123,7 +130,9 @@ def judge_sql(filter_: Filter | None = None) -> str:
     after = "CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
     ruled = sorted(f.rules, key=lambda r: (-len(r.text), r.text))
     fits = lambda r: f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))"
-    hits = lambda terms: " + ".join(rf"CAST(regexp_matches(low, '(^|[^\p{{L}}\p{{N}}]){t}($|[^\p{{L}}\p{{N}}])') AS INT)" for t in terms)
+    hit = lambda t: rf"CAST(regexp_matches(low, '(^|[^\p{{L}}\p{{N}}]){t}($|[^\p{{L}}\p{{N}}])') AS INT)"
+    hits = lambda terms: " + ".join(map(hit, terms))
+    weight = " + ".join(f"{f.weight(t)} * {hit(t)}" for t in f.soft)
     lower = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
 WITH rest AS (SELECT page_id, url, {after} AS after FROM pages),
@@ -132,7 +141,7 @@ parts AS (SELECT page_id, {lower.format("coalesce(url, '')")} AS low,
     regexp_extract(regexp_replace(after, '^[^/?#]*', ''), '^[^?#]*') AS path FROM rest),
 hits AS (SELECT page_id, host, path, CASE {" ".join(f"WHEN {fits(r)} THEN '{r.text}'" for r in ruled)} END AS rule,
     CASE {" ".join(f"WHEN {fits(r)} THEN '{r.verdict}'" for r in ruled)} END AS ruled,
-    CAST({hits(f.strict)} AS INT) AS strict_hits, CAST({hits(f.soft)} AS INT) AS soft_hits FROM parts)
+    CAST({hits(f.strict)} AS INT) AS strict_hits, CAST({hits(f.soft)} AS INT) AS soft_hits, {weight} AS soft_weight FROM parts)
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
-    coalesce(ruled, CASE WHEN strict_hits > 0 OR soft_hits >= {f.soft_limit} THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, soft_hits
+    coalesce(ruled, CASE WHEN strict_hits > 0 OR soft_hits >= 2 AND soft_weight >= {f.soft_limit} THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, soft_hits
 FROM hits"""

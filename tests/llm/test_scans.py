@@ -130,3 +130,13 @@ def test_key_encodings():
             assert secrets.find_secrets(f"\\n{text}\\nand") == whole(text, kind)
         assert secrets.redacted(f"a\n{lines(raw)}\n{lines(raw)}\nb") == "a\n[secret]\n[secret]\nb"
     assert kinds(lines(PUBLIC)) == [] == kinds(lines(RSA[:-3]) + "\nx") == kinds(pem(lines(PUBLIC)))
+
+
+def test_url_weights(spark):
+    heavy = urls.Filter(rules=(), soft_limit=3, weights={"casino": 2.5, "bonus": 0.5}).build()
+    # One term alone never rejects; two do where their weights reach the limit.
+    verdicts = {u: heavy.judge(u)[3] for u in ("http://a/casino", "http://a/casino/casino", "http://a/casino/bonus", "http://a/bonus/free", "http://a/free/loan/win", "http://a/xxx")}
+    assert list(verdicts.values()) == ["allow", "allow", "block", "allow", "block", "block"]
+    pages = spark.createDataFrame([(1, "http://a/" + "x/" * 50_000 + "free/loan", "no host"), (1, None, None), (2, "http://b/free", "x")], "page_id long, url string, host string")
+    assert sorted((r.page_id, r.verdict, r.host) for r in urls.judge_urls(pages).collect()) == [(1, "allow", ""), (1, "block", "a"), (2, "allow", "b")]
+    assert urls.judge_urls(pages.limit(0)).collect() == []
