@@ -61,13 +61,14 @@ def floating_repeats(lines: DataFrame, bodies: DataFrame, options: Options, page
 
 def furniture(lines: DataFrame, bodies: DataFrame, options: Options, pages: DataFrame | None = None) -> DataFrame:
     """``doc_id, page, seq, artifact`` of lines that are running headers, footers or
-    page numbers; repeated lines first, then numbers, then floating small print."""
+    page numbers; repeated lines first, then numbers, then floating small print.
+    Each step has rows of every document, so none is broadcast to the next."""
     key = ["doc_id", "page", "seq"]
     signed = lines.withColumn("zone", zone(options)).withColumn("signature", T.repeat_signature(F.col("text")))
-    repeated = signed.join(repeated_lines(lines, options, pages), ["doc_id", "zone", "signature"]).select(*key, F.col("zone").alias("artifact"))
-    rest = lines.join(repeated, key, "left_anti")
+    repeated = signed.join(repeated_lines(lines, options, pages).hint("merge"), ["doc_id", "zone", "signature"]).select(*key, F.col("zone").alias("artifact"))
+    rest = lines.join(repeated.hint("merge"), key, "left_anti")
     numbers = page_numbers(rest, options, pages).withColumn("artifact", F.lit("page_number"))
-    floating = floating_repeats(rest.join(numbers, key, "left_anti"), bodies, options, pages).withColumn("artifact", F.lit("header"))
+    floating = floating_repeats(rest.join(numbers.hint("merge"), key, "left_anti"), bodies, options, pages).withColumn("artifact", F.lit("header"))
     return repeated.unionByName(numbers).unionByName(floating)
 
 
@@ -199,7 +200,7 @@ def nearest_tables(captions: DataFrame, tables: DataFrame, reach: float = 72.0)
     """``doc_id, caption_order, table_order``: for each caption the table of its page
     whose edge is nearest, under ``reach`` points; the earlier one on a tie."""
     distance = F.least(F.abs(F.col("c.top") - F.col("t.bottom")), F.abs(F.col("t.top") - F.col("c.bottom")))
-    pairs = captions.alias("c").join(tables.alias("t"), ["doc_id", "page"]).select("doc_id", F.col("c.order").alias("caption_order"), F.col("t.order").alias("table_order"), distance.alias("distance"))
+    pairs = captions.alias("c").join(tables.alias("t").hint("merge"), ["doc_id", "page"]).select("doc_id", F.col("c.order").alias("caption_order"), F.col("t.order").alias("table_order"), distance.alias("distance"))
     return pairs.where(F.col("distance") < reach).groupBy("doc_id", "caption_order").agg(F.min_by("table_order", F.struct("distance", "table_order")).alias("table_order"))
 
 
@@ -211,5 +212,5 @@ def attach_notes(blocks: DataFrame, notes: DataFrame) -> DataFrame:
     cited = blocks.select("doc_id", "page", "order", marks.alias("marker")).groupBy("doc_id", "page", "marker").agg(F.min("order").alias("cited"))
     last = blocks.groupBy("doc_id", "page").agg(F.max("order").alias("last"))
     own = notes.groupBy("doc_id", "page", "marker").agg(F.max_by("text", "seq").alias("text"))
-    both = own.join(last, ["doc_id", "page"]).join(cited, ["doc_id", "page", "marker"], "left")
+    both = own.join(last.hint("merge"), ["doc_id", "page"]).join(cited.hint("merge"), ["doc_id", "page", "marker"], "left")
     return both.select("doc_id", "page", "marker", "text", F.coalesce("cited", "last").alias("order"), F.col("cited").isNull().alias("orphan"))

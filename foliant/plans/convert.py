@@ -230,20 +230,20 @@ def with_notes(blocks: DataFrame, notes: DataFrame | None) -> DataFrame:
         return blocks.withColumn("notes", F.lit(None).cast(NOTES)).withColumn("orphan_footnotes", F.lit(None).cast("array<string>"))
     attached = L.attach_notes(blocks.select("doc_id", "page", "order", "text"), notes).select("doc_id", "order", "marker", F.col("text").alias("note"), "orphan")
     entry = F.struct("orphan", F.position(F.concat(F.lit("[^"), "marker", F.lit("]")), "text").alias("at"), "marker", "note")
-    own = attached.join(blocks.select("doc_id", "order", "text"), ["doc_id", "order"]).groupBy("doc_id", "order").agg(F.array_sort(F.collect_list(entry)).alias("_notes"))
+    own = attached.join(blocks.select("doc_id", "order", "text").hint("merge"), ["doc_id", "order"]).groupBy("doc_id", "order").agg(F.array_sort(F.collect_list(entry)).alias("_notes"))
     pairs = F.transform("_notes", lambda n: F.struct(n.getField("marker").alias("marker"), n.getField("note").alias("text")))
     lost = F.transform(F.filter("_notes", lambda n: n.getField("orphan")), lambda n: n.getField("marker"))
-    return blocks.join(own, ["doc_id", "order"], "left").withColumn("notes", pairs).withColumn("orphan_footnotes", F.when(F.size(lost) > 0, lost)).drop("_notes")
+    return blocks.join(own.hint("merge"), ["doc_id", "order"], "left").withColumn("notes", pairs).withColumn("orphan_footnotes", F.when(F.size(lost) > 0, lost)).drop("_notes")
 
 
 def with_captions(blocks: DataFrame) -> DataFrame:
     """``target_order`` of captions, and ``caption`` and ``label`` of the tables they belong to: the last caption's text, the first one's label."""
     captions = blocks.where("caption_kind = 'table'").select("doc_id", "page", "order", "top", "bottom", "text", "label")
     links = L.nearest_tables(captions.select("doc_id", "page", "order", "top", "bottom"), blocks.where("type = 'table'").select("doc_id", "page", "order", "top", "bottom"))
-    named = links.join(captions.select("doc_id", F.col("order").alias("caption_order"), "text", F.col("label").alias("_label")), ["doc_id", "caption_order"])
+    named = links.join(captions.select("doc_id", F.col("order").alias("caption_order"), "text", F.col("label").alias("_label")).hint("merge"), ["doc_id", "caption_order"])
     told = named.groupBy("doc_id", F.col("table_order").alias("order")).agg(F.max_by("text", "caption_order").alias("caption"), F.min_by("_label", "caption_order").alias("_label"))
     targets = links.select("doc_id", F.col("caption_order").alias("order"), F.col("table_order").alias("target_order"))
-    out = blocks.join(told, ["doc_id", "order"], "left").join(targets, ["doc_id", "order"], "left")
+    out = blocks.join(told.hint("merge"), ["doc_id", "order"], "left").join(targets.hint("merge"), ["doc_id", "order"], "left")
     return out.withColumn("label", F.coalesce("label", "_label")).drop("_label")
 
 
@@ -288,7 +288,9 @@ def parse_files(files: DataFrame, options: Options | None = None, format: str |
     stripped = stripped.select("doc_id", running.alias("_running"))
     none = F.array().cast("array<string>")
     other = F.when(~F.col("format").isin("pdf", "docx"), F.concat(F.lit("UnsupportedFormatError: "), "format"))
-    documents = known.select("doc_id", "format").join(about, "doc_id", "left").join(failed, "doc_id", "left").join(core, "doc_id", "left").join(stripped, "doc_id", "left")
+    documents = known.select("doc_id", "format")
+    for known_of in (about, failed, core, stripped):
+        documents = documents.join(known_of.hint("merge"), "doc_id", "left")
     told_of = F.array_compact(F.concat(F.coalesce("warnings", none), F.coalesce("_warnings", none), F.array("_running")))
     documents = documents.withColumn("warnings", told_of).drop("_warnings", "_running")
     for name in ("title", "author", "producer"):

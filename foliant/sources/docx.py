@@ -224,7 +224,7 @@ def blocks_of(rows: DataFrame, options: Options | None = None) -> DataFrame:
     lines = rows.where("kind = 'p'").select("doc_id", c("pos").alias("seq"), F.lit(None).cast("int").alias("page"), "text", "size", "bold", c("is_item").alias("listed"))
     bodies = layout.body_sizes(lines, 0, spaces=True, default=11.0)
     guessed = layout.heading_model(lines, bodies, options, numbers=False)
-    rows = rows.join(bodies, "doc_id", "left").join(guessed.select("doc_id", c("seq").alias("pos"), c("level").alias("guess")), ["doc_id", "pos"], "left")
+    rows = rows.join(bodies.hint("merge"), "doc_id", "left").join(guessed.select("doc_id", c("seq").alias("pos"), c("level").alias("guess")).hint("merge"), ["doc_id", "pos"], "left")
     known = F.max(c("authority").isNotNull()).over(doc)
     level = F.when(known, c("authority")).when(~c("is_item"), c("guess")) if options.detect_headings else F.lit(None).cast("int")
     rows = rows.withColumn("level", F.when(~c("is_item"), level))
