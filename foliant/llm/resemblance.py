@@ -10,9 +10,13 @@ are compared shingle by shingle, so no link rests on a sketch. Of texts at simil
 found only if other links lead from one to the other.
 
 Inside a group members are compared with a few centres and not with each other.
-Members that are connected by then need no more comparison; groups that still
-hold several parts go on, without those centres and with more of them, until
-each pair has been compared or is connected.
+Members that are connected by then need no more comparison. Groups that still
+hold several parts get more centres, without the first: those whose shingles are the
+commonest in the group, as edits of one text are nearer to it than to each other.
+Of those that are then left two are compared if they share a shingle that two
+sets of their sizes must share to reach the threshold: the rarest of each, counted in
+the group, and as many more as can be missing in the other (prefix filter). No pair
+that reaches it is passed over, unless the two are connected already.
 """
 
 from __future__ import annotations
@@ -35,8 +39,8 @@ TAU, MORE_TAU = 13, 54
 MORE = ("more1", "more2", "more3")
 #: Numbers of parts to choose from, and the cost of a compared pair next to that of a probed row.
 PARTS, PAIR_COST = (4, 5, 6, 7, 8), 0.004
-#: Centres of a group in the first round, and how many times more there are in each round after.
-FIRST, TIMES = 4, 16
+#: Centres of a group in the first two rounds.
+CENTRES = (4, 16)
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -94,29 +98,76 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, shingle: int) ->
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def shingles_of(members: DataFrame, texts: DataFrame, least: float, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """``key, node, central``: how many members of its group have a shingle of a member, on the
+    average; and ``part, key, node, size, most`` for those of its rarest shingles that another has
+    too: ``most`` is the size up to which a partner must share this shingle or a rarer one.
+
+    Shingles are ordered by how many members of the group have them. Two sets of a
+    Jaccard similarity of ``least`` share at least ``least / (1 + least)`` of the sum of
+    their sizes, so that one of the shingles before the last so many is in both."""
+    share = least / (1 + least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens = shingle_set(text, shingle).view(np.int64)
+                same = (pa.array(np.full(len(tokens), x, np.int64)) for x in (key, node, len(tokens)))
+                yield pa.RecordBatch.from_arrays([*same, pa.array(tokens)], names=["key", "node", "size", "token"])
+
+    tokens = members.join(texts, "node").select("key", "node", "text").mapInArrow(run, "key bigint, node bigint, size bigint, token bigint")
+    tokens = materialize(tokens, "tokens")
+    ranked = tokens.join(tokens.groupBy("key", "token").agg(F.count("*").alias("n")).hint("merge"), ["key", "token"])
+    central = materialize(ranked.groupBy("key", "node").agg(F.avg("n").alias("central")), "central")
+    at = F.row_number().over(Window.partitionBy("key", "node").orderBy("n", "token"))
+    most = F.floor((F.col("size") - at + 1) / F.lit(share) - F.col("size") + 1e-6)
+    rare = ranked.withColumn("most", most).where((F.col("most") >= least * F.col("size") - 1e-6) & (F.col("n") > 1))
+    return central, materialize(rare.select(F.xxhash64("key", "token").alias("part"), "key", "node", "size", "most"), "rare")
+
+
+def sharing(members: DataFrame, rare: DataFrame) -> DataFrame:
+    """``a, b``: pairs of unconnected members of a group that share a shingle that their sizes ask for."""
+    kept = materialize(members.join(rare.hint("merge"), ["key", "node"]).select("part", "node", "root", "size", "most"), "shared")
+    apart = kept.groupBy("part").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("size").alias("least")).where("lo != hi")
+    kept = kept.join(apart.hint("merge"), "part").where("most >= least").select("part", "node", "root", "size", "most")
+    one, two = (kept.select("part", *(F.col(c).alias(f"{c}{k}") for c in ("node", "root", "size", "most"))) for k in (1, 2))
+    met = F.expr("node1 < node2 AND root1 != root2 AND size1 <= most2 AND size2 <= most1")
+    return one.join(two.hint("merge"), (one["part"] == two["part"]) & met).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+
+
 def resembling(members: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame | None:
     """``node, root`` of the sets that links connect, or None if there are none.
     ``members``: ``key`` of a group of candidates, ``node`` and ``root`` (at first the node)."""
-    found_links = roots = compared = None
-    centres = FIRST
-    while members.limit(1).count():
-        first = members.withColumn("_k", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("_k") <= centres)
-        first = first.groupBy("key").agg(F.collect_list(F.struct(F.col("node").alias("c"), F.col("root").alias("r"))).alias("cs"))
-        table = materialize(first.join(members.groupBy("key").agg(F.count("*").alias("n")), "key"), "centres")
-        met = lookup(members, table, "key", "node", "n")
-        near = met.select("node", "root", F.explode("cs").alias("x")).where("node != x.c AND root != x.r")
-        pairs = near.select(F.least("node", "x.c").alias("a"), F.greatest("node", "x.c").alias("b")).distinct()
-        pairs = materialize(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+    found_links = roots = compared = rare = None
+    members = members.withColumn("central", F.lit(0.0))
+    for centres in (*CENTRES, None):
+        if not members.limit(1).count():
+            break
+        if centres is None:
+            pairs = sharing(members, rare)
+        else:
+            first = members.withColumn("_k", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("central"), "node"))).where(F.col("_k") <= centres)
+            first = first.groupBy("key").agg(F.collect_list(F.struct(F.col("node").alias("c"), F.col("root").alias("r"))).alias("cs"))
+            table = materialize(first.join(members.groupBy("key").agg(F.count("*").alias("n")).hint("merge"), "key"), "centres")
+            met = lookup(members, table, "key", "node", "n")
+            others = F.filter("cs", lambda x: (x.getField("c") != F.col("node")) & (x.getField("r") != F.col("root")))
+            near = met.select("node", F.explode(others).alias("x"))
+            pairs = near.select(F.least("node", "x.c").alias("a"), F.greatest("node", "x.c").alias("b")).distinct()
+        pairs = materialize(pairs if compared is None else pairs.join(compared.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         compared = pairs if compared is None else compared.unionByName(pairs)
         found = materialize(verified(pairs, texts, least, shingle), "resembling")
         found_links = found if found_links is None else found_links.unionByName(found)
         roots = materialize(connected_components(found_links), "roots")
+        if centres is None:
+            break
         left = met.where(~F.exists("cs", lambda x: x.getField("c") == F.col("node"))).select("key", "node")
         named = materialize(left.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "named")
         # One that is alone beside the centres has met all others of its group; so have those that are one part.
         apart = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-        members = materialize(named.join(apart, "key", "left_semi"), "members")
-        centres *= TIMES
+        members = materialize(named.join(apart.hint("merge"), "key", "left_semi"), "members")
+        if rare is None and members.limit(1).count():
+            central, rare = shingles_of(members, texts, least, shingle)
+            members = members.join(central.hint("merge"), ["key", "node"], "left")
     return roots
 
 

@@ -95,3 +95,24 @@ def test_links_of_wide_distance(spark):
         near = simhash.links(table, 13, block, "node", resemblance.MORE, 54, (3, 6, 8), 0.004)
         got = {r.node: r.root for r in connected_components(near).collect()}
         assert [got.get(k, k) for k in range(len(rows))] == group
+
+
+def test_near_texts_under_the_threshold_are_not_all_compared(spark, monkeypatch):
+    """Edits of one text, each alike to it and hardly one to another: right parts, and pairs that don't grow with the square."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(300)]
+    rows = [(k, edited(base, rng.choice((3, 5, 6, 7, 8, 9)), rng)) for k in range(150)]
+    plain = {k: plain_set(t) for k, t in rows}
+    table = spark.createDataFrame([(1, k, k) for k, _ in rows], "key bigint, node bigint, root bigint")
+    texts = spark.createDataFrame(rows, "node bigint, text string")
+    compared = []
+    monkeypatch.setattr(resemblance, "verified", lambda pairs, *rest, f=resemblance.verified: (compared.append(pairs.count()), f(pairs, *rest))[1])
+    got = {r.node: r.root for r in resemblance.resembling(table, texts, 0.8, 5).collect()}
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    assert [got.get(k, k) for k in range(len(rows))] == group and len(set(group)) > 30
+    assert sum(compared) < 6000  # of 11,175 pairs
