@@ -50,7 +50,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60, one_task: int =
     settled by one task, without a shuffle. More are settled by alternating large-star
     and small-star rounds: every step is a minimum per node with map-side combine and a
     join back to the links, so no larger component is ever gathered in one task.
-    Links with a null end and loops are ignored.
+    Links with a null end and loops are ignored. Links that Python makes should be written
+    before: in one stage with the thinning they would hold two Python workers for each task.
     Each round is written to the shared folder, which also ends its lineage.
     """
     pairs = links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))

@@ -183,7 +183,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sketch = [F.first(f"_{c}").alias(c) for c in ("fp", *MORE)]
     distinct = materialize(rows.groupBy(F.col("_node").alias("node")).agg(F.min(low).alias("low"), F.min("_row").alias("any"), *sketch), "distinct-sets")
     near = links(distinct, TAU, id_col="node", more=MORE, more_tau=MORE_TAU, choices=PARTS, pair_cost=PAIR_COST)
-    members = materialize(connected_components(near).select(F.col("root").alias("key"), "node", F.col("node").alias("root")), "candidates")
+    members = materialize(connected_components(materialize(near, "near-links")).select(F.col("root").alias("key"), "node", F.col("node").alias("root")), "candidates")
     some = pick(distinct, ["node", "any"]).join(members.select("node"), "node", "left_semi").withColumnRenamed("any", "_row")
     texts = materialize(pick(rows, ["_row", text_col]).join(some, "_row").select("node", F.col(text_col).alias("text")), "candidate-texts")
     roots = resembling(members, texts, least, shingle)

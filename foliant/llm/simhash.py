@@ -351,7 +351,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("low"), F.count("*").alias("copies")), "distinct-fingerprints")
-    roots = connected_components(links(distinct, tau, block))
+    roots = connected_components(materialize(links(distinct, tau, block), "near-links"))
     named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "copies", "low", F.coalesce("root", "fp").alias("root"))
     low = materialize(named.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n")), "component-ids")
     table = materialize(lookup(named, low, "root", "fp", "n").select("fp", "copies", "component_id"), "components")
